@@ -15,8 +15,29 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_versions(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private import private_spans
+
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_labels
+
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op6_language": op6_language,
+    "op7_private": op7_private,
+    "op10_licenses": op10_licenses,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
