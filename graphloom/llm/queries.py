@@ -33,11 +33,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op6_language": op6_language,
     "op7_private": op7_private,
     "op10_licenses": op10_licenses,
+    "op4_quality": op4_quality,
+    "op9_main_text": op9_main_text,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
