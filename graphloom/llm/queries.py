@@ -45,11 +45,18 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op6_language": op6_language,
     "op7_private": op7_private,
     "op10_licenses": op10_licenses,
+    "op2_jaccard": op2_jaccard,
     "op4_quality": op4_quality,
     "op9_main_text": op9_main_text,
 }
