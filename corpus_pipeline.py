@@ -1,16 +1,66 @@
-"""Corpus pipeline over `documents`."""
+"""Corpus pipeline over `documents`: language ID, line dedup, near-duplicate removal, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as Parquet and
+read again before the next one. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate, jaccard, language, line_dedup, packing
+from graphloom.llm.common import saved, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language; a text without letters, or null, goes. Learns from the labelled rows of docs."""
+    model = language.fit(docs, F.coalesce(~language.held_out(), F.lit(False)))
+    keep = docs.columns
+    found = language.identify(docs.withColumn("_keep", F.struct(*keep)), model, ["_keep"])
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).select("_keep.*")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the blocks of lines that an earlier document has; a text that had lines and lost all of them goes."""
+    rows = line_dedup.without_repeats(docs)
+    rows = rows.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class of near duplicates; rows without a doc_id stay."""
+    kept = jaccard.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of every document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("near_duplicates", one_of_each_class),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL can express neither the trained network nor best fit; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages in turn, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

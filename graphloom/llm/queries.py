@@ -51,13 +51,34 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op6_language": op6_language,
     "op7_private": op7_private,
     "op10_licenses": op10_licenses,
     "op2_jaccard": op2_jaccard,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
 }
 
