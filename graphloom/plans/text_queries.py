@@ -1 +1,241 @@
-"""Queries."""
+"""Queries over text, lines, pages and sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import graph as G, rules as L
+from ..sources import contracts, markup
+from .registry import query
+from .views import Views
+
+
+@query("chunk_fixed", sql="SELECT doc_id, s AS start, length(substr(text, s + 1, 2000)) AS n FROM (SELECT doc_id, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 2000) / 1800.0) AS BIGINT)) * 1800 + 1, 1800)) AS s FROM documents)")
+def chunk_fixed(v: Views) -> DataFrame:
+    rows = v.table("documents").select("doc_id", "text", F.explode(T.chunk_starts("text")).alias("start"))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.length(F.substring("text", F.col("start") + 1, F.lit(2000))).cast("long").alias("n"))
+
+
+@query("doc_counts", sql="SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, length(text) AS n_length FROM documents")
+def doc_counts(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", T.n_words("text").alias("n_words"), F.length("text").cast("long").alias("n_length"))
+
+
+@query("has_code", sql="SELECT doc_id, regexp_matches(text, 'function |mapping\\(|require\\(|uint\\d+') AS a, regexp_matches(text, 'function |mapping\\(|require\\(|emit |\\.sol') AS b, regexp_matches(text, 'function|mapping|require|solidity|\\.sol') AS c FROM documents")
+def has_code(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", *(T.has_code("text", i + 1).alias(n) for i, n in enumerate("abc")))
+
+
+@query("looks_like_code", sql="SELECT item_id, regexp_matches(text, '(?i)\\b(function|contract|mapping|address|uint|int\\d*|bytes\\d*|revert|require|emit|delegatecall|assembly|solidity|modifier|abi\\.encode|msg\\.sender|tx\\.origin)\\b') AS code FROM benchmark")
+def looks_like_code(v: Views) -> DataFrame:
+    return v.table("benchmark").select("item_id", T.looks_like_code("text").alias("code"))
+
+
+@query(
+    "parse_amount",
+    sql="SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 1000) * 1e6 WHEN 1 THEN (o_orderkey % 1000) * 1e3 WHEN 2 THEN CAST(o_orderkey AS DOUBLE) ELSE 0.0 END AS amount FROM orders",
+)
+def parse_amount(v: Views) -> DataFrame:
+    k, small = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 1000).cast("string")
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("$"), small, F.lit("m+"))).when(F.col("o_orderkey") % 4 == 1, F.concat(small, F.lit("K USDC"))).when(F.col("o_orderkey") % 4 == 2, k).otherwise("n/a")
+    return v.table("orders").select("o_orderkey", T.parse_amount(text).alias("amount"))
+
+
+@query("parse_bounty", sql="SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS bounty, o_orderkey >= 5000 AS large FROM orders")
+def parse_bounty(v: Views) -> DataFrame:
+    b = T.parse_bounty(F.concat(F.lit("$ "), F.col("o_orderkey").cast("string"), F.lit(" USD")))
+    return v.table("orders").select("o_orderkey", b.alias("bounty"), (b >= 5000).alias("large"))
+
+
+@query("slugify", sql="SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
+def slugify(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", T.slugify("url").alias("slug"))
+
+
+@query("safe_filename", sql="SELECT doc_id, '2024-01-01_' || replace(lower(trim(substr(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9 _-]', '_', 'g'), 1, 50), ' ')), ' ', '_') || '.md' AS name FROM documents")
+def safe_filename(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", T.safe_filename(F.lit("2024-01-01"), F.substring("text", 1, 80)).alias("name"))
+
+
+@query("keyword_classify", sql="SELECT doc_id, CASE WHEN contains(lower(text), 'reentrancy') THEN 'reentrancy' WHEN contains(lower(text), 'oracle') THEN 'oracle' WHEN contains(lower(text), 'governance') THEN 'governance' WHEN contains(lower(text), 'proxy') THEN 'proxy' WHEN contains(lower(text), 'bridge') THEN 'bridge' WHEN contains(lower(text), 'sandwich') THEN 'sandwich' WHEN contains(lower(text), 'inflation') THEN 'inflation' WHEN contains(lower(text), 'donation') THEN 'donation' ELSE 'unknown' END AS primary_key FROM documents")
+def keyword_classify(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", T.attack_tags("text").primary.alias("primary_key"))
+
+
+@query("loss_priority", sql="SELECT o_orderkey, CAST(least(greatest(7 + floor(o_totalprice * 20 / 1e6), 7), 10) AS BIGINT) AS priority FROM orders")
+def loss_priority(v: Views) -> DataFrame:
+    return v.table("orders").select("o_orderkey", T.loss_priority(F.col("o_totalprice") * 20).alias("priority"))
+
+
+@query("is_public", sql="SELECT o_orderkey, o_orderdate < TIMESTAMP '1997-01-01' AS public FROM orders")
+def is_public(v: Views) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return v.table("orders").select("o_orderkey", F.coalesce(F.try_to_timestamp(day) < F.lit("1997-01-01").cast("timestamp"), F.lit(True)).alias("public"))
+
+
+@query("normalize_incident", sql="SELECT event_id, coalesce(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT), -1) AS k, 'unknown' AS title FROM events")
+def normalize_incident(v: Views) -> DataFrame:
+    field = lambda *names: F.coalesce(*(F.get_json_object("props", f"$.{n}") for n in names))
+    return v.table("events").select("event_id", F.coalesce(field("key", "k").try_cast("long"), F.lit(-1)).alias("k"), F.coalesce(field("title", "name"), F.lit("unknown")).alias("title"))
+
+
+@query("param_names", sql="SELECT c_custkey, 'to,amount' AS params, 'user_input' AS taint FROM customer")
+def param_names(v: Views) -> DataFrame:
+    params = T.param_names(F.lit("address to, uint256 amount, bytes calldata"))
+    return v.table("customer").select("c_custkey", F.array_join(params, ",").alias("params"), T.infer_taint(F.lit("to.owner"), params).alias("taint"))
+
+
+@query("sloc", sql="SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' AND NOT starts_with(trim(x, ' '), '//') AND NOT starts_with(trim(x, ' '), '*'))) AS BIGINT) AS sloc FROM documents")
+def sloc(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", T.sloc("text").alias("sloc"))
+
+
+@query("line_number", sql="SELECT doc_id, 1 + length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) AS line FROM documents")
+def line_number(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", T.line_number("text", F.lit(500)).alias("line"))
+
+
+_HIDDEN = "regexp_replace(" * 6 + "html" + "".join(f", '(?is)<{t}[^>]*>.*?</{t}>', ' ', 'g')" for t in markup.HIDDEN)
+
+
+@query("html_visible_text", sql=f"SELECT page_id, trim(regexp_replace(regexp_replace({_HIDDEN}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM pages")
+def html_visible_text(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", markup.visible_text("html").alias("text"))
+
+
+@query("html_main_text", sql=f"SELECT page_id, CAST(len(list_filter(list_transform(string_split(regexp_replace({_HIDDEN}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS BIGINT) AS n_lines FROM pages")
+def html_main_text(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", F.size(markup.text_lines("html")).cast("long").alias("n_lines"))
+
+
+@query("html_json_extract", sql="SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, regexp_extract(html, 'track\\((\\d+)\\)', 1) AS tracked FROM pages")
+def html_json_extract(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", markup.title("html").alias("title"), F.regexp_extract("html", r"track\((\d+)\)", 1).alias("tracked"))
+
+
+@query("regex_multi_extract", sql="SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages)")
+def regex_multi_extract(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+
+
+@query(
+    "md_sections",
+    sql="""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || '## ') AS c FROM documents), p AS (SELECT doc_id, unnest(string_split(regexp_replace(c, '\\n(#{1,4} )', chr(1) || '\\1', 'g'), chr(1))) AS part, unnest(range(0, len(string_split(regexp_replace(c, '\\n(#{1,4} )', chr(1) || '\\1', 'g'), chr(1))))) AS section FROM d WHERE length(c) >= 300)
+    SELECT doc_id, section, trim(regexp_extract(part, '^#{1,4} ([^\\n]*)', 1), ' ') AS heading, substr(trim(regexp_replace(part, '^#{1,4} [^\\n]*\\n?', ''), ' '), 1, 3500) AS body FROM p WHERE length(body) > 50""",
+)
+def md_sections(v: Views) -> DataFrame:
+    docs = v.table("documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n## ")).alias("c"))
+    return markup.sections(docs, "doc_id", "c")
+
+
+def _frame(name: str, lo: int, hi: int) -> None:
+    side = lambda n: f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}" if n else "CURRENT ROW"
+    sql = f"SELECT doc_id, line_no, hit FROM (SELECT doc_id, line_no, bool_or(contains(line, 'License')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN {side(lo)} AND {side(hi)}) AS hit FROM lines) WHERE hit"
+
+    @query(name, "lines", sql)
+    def run(v: Views) -> DataFrame:
+        return L.frame_flag(v.lines, "doc_id", "line_no", F.col("line").contains("License"), lo, hi).filter("hit").select("doc_id", "line_no", "hit")
+
+
+_frame("frame_preceding", -2, 0)
+_frame("frame_centered", -5, 4)
+_frame("frame_following", 0, 4)
+_START = "regexp_matches(line, '^[A-Z][a-z]+ ')"
+_SCOPED = f"""s AS (SELECT doc_id, line_no, line, last_value(CASE WHEN {_START} THEN regexp_extract(line, '^([A-Z][a-z]+) ', 1) END IGNORE NULLS) OVER w AS scope, count(*) FILTER ({_START}) OVER w AS scope_no FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))"""
+
+
+def _scoped(v: Views) -> DataFrame:
+    return L.scope(v.lines, "doc_id", "line_no", F.col("line").rlike("^[A-Z][a-z]+ "), F.regexp_extract("line", "^([A-Z][a-z]+) ", 1))
+
+
+@query("ffill_scope", "lines", f"WITH {_SCOPED} SELECT doc_id, line_no, scope FROM s WHERE scope IS NOT NULL")
+def ffill_scope(v: Views) -> DataFrame:
+    return _scoped(v).filter("scope is not null").select("doc_id", "line_no", "scope")
+
+
+@query("asof_enclosing", "lines", f"WITH {_SCOPED} SELECT doc_id, line_no, scope FROM s WHERE contains(line, 'License')")
+def asof_enclosing(v: Views) -> DataFrame:
+    scoped = G.asof_enclosing(v.lines, "doc_id", ["line_no"], F.col("line").rlike("^[A-Z][a-z]+ "), F.regexp_extract("line", "^([A-Z][a-z]+) ", 1))
+    return scoped.filter(F.col("line").contains("License")).select("doc_id", "line_no", "scope")
+
+
+@query("sticky_flag", "lines", f"WITH {_SCOPED} SELECT doc_id, line_no FROM (SELECT *, bool_or(contains(line, 'icense')) OVER (PARTITION BY doc_id, scope_no ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS f FROM s) WHERE f")
+def sticky_flag(v: Views) -> DataFrame:
+    return L.sticky(_scoped(v), ["doc_id", "scope_no"], "line_no", F.col("line").contains("icense")).filter("sticky").select("doc_id", "line_no")
+
+
+@query("loops_per_function", "lines", f"WITH {_SCOPED} SELECT doc_id, scope_no, count(*) AS n, count(*) >= 2 AS nested, min(line_no) AS first_line FROM s WHERE regexp_matches(line, '\\b(for|while)\\b') GROUP BY 1, 2")
+def loops_per_function(v: Views) -> DataFrame:
+    return _scoped(v).filter(F.col("line").rlike(r"\b(for|while)\b")).groupBy("doc_id", "scope_no").agg(F.count("*").alias("n"), (F.count("*") >= 2).alias("nested"), F.min("line_no").alias("first_line"))
+
+
+@query(
+    "block_end",
+    "lines",
+    """WITH d AS (SELECT doc_id, line_no, sum(length(line) - length(replace(line, '(', '')) - (length(line) - length(replace(line, ')', '')))) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth FROM lines),
+    s AS (SELECT *, max(depth) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS top FROM d) SELECT doc_id, min(line_no) AS "end" FROM s WHERE top > 0 AND depth <= 0 GROUP BY 1""",
+)
+def block_end(v: Views) -> DataFrame:
+    return L.block_end(v.lines, "doc_id", "line_no", "line")
+
+
+@query("line_rule_scan", "lines", "SELECT doc_id, line_no, CASE WHEN contains(line, 'GNU') THEN 'gnu' WHEN contains(line, 'MIT') THEN 'mit' ELSE 'cc' END AS rule FROM lines WHERE regexp_matches(line, 'GNU|MIT|CC BY')")
+def line_rule_scan(v: Views) -> DataFrame:
+    rule = F.when(F.col("line").contains("GNU"), "gnu").when(F.col("line").contains("MIT"), "mit").otherwise("cc")
+    return v.lines.filter(F.col("line").rlike("GNU|MIT|CC BY")).select("doc_id", "line_no", rule.alias("rule"))
+
+
+@query("file_rule_scan", sql="SELECT doc_id, contains(text, 'License') AND NOT contains(text, 'MIT') AS other, regexp_matches(text, '\\bversion\\b') AS version FROM documents WHERE contains(text, 'icense')")
+def file_rule_scan(v: Views) -> DataFrame:
+    d = v.table("documents").filter(F.col("text").contains("icense"))
+    return d.select("doc_id", (F.col("text").contains("License") & ~F.col("text").contains("MIT")).alias("other"), F.col("text").rlike(r"\bversion\b").alias("version"))
+
+
+_FLAGS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS flag FROM documents WHERE regexp_matches(text, '{p}')" for f, p in L.PATTERNS)
+
+
+@query("pattern_scan", sql=f"SELECT flag, count(*) AS n, min(doc_id) AS first_doc FROM ({_FLAGS}) GROUP BY 1")
+def pattern_scan(v: Views) -> DataFrame:
+    hits = v.table("documents").select("doc_id", F.explode(L.pattern_flags(F.col("text"))).alias("flag"))
+    return hits.groupBy("flag").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("sel_erc20", "lines", "SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(line, '\\.(approve|transfer|transferFrom)\\s*\\(') OR contains(line, 'Released under') GROUP BY 1")
+def sel_erc20(v: Views) -> DataFrame:
+    hit = F.col("line").rlike(r"\.(approve|transfer|transferFrom)\s*\(") | F.col("line").contains("Released under")
+    return v.lines.filter(hit).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("sel_upgradeable", sql="SELECT source, count(*) AS n FROM documents WHERE regexp_matches(text, 'Licensed|Initializable') GROUP BY 1")
+def sel_upgradeable(v: Views) -> DataFrame:
+    return v.table("documents").filter(F.col("text").rlike("Licensed|Initializable")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("snippet_window", "lines", "SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS snippet FROM lines WHERE line_no BETWEEN 2 AND 6 GROUP BY 1")
+def snippet_window(v: Views) -> DataFrame:
+    own = F.slice(F.split("text", "\n"), 2, 5)
+    return v.table("documents").select("doc_id", own.alias("w")).filter(F.size("w") > 0).select("doc_id", F.array_join("w", "\n").alias("snippet"))
+
+
+SOURCE = """abstract contract Base is Owned, Guard {
+    mapping(address => uint256) public balances;
+    uint256 private total;
+    function pay(address to, uint256 amount) external onlyOwner {
+        if (amount > 0) { balances[to] -= amount; }
+        to.call{value: amount}("");
+        emit Paid(to);
+    }
+    function sum() public view returns (uint256) { return total; }
+    function open(uint256 total) internal;
+}
+interface IThing { function f() external; }
+"""
+
+
+@query("parse_sources")
+def parse_sources(v: Views) -> DataFrame:
+    """Facts of one invented file for each nation, whose contract bears the nation's name."""
+    files = v.table("nation").select(F.concat(F.lit("src/"), "n_name", F.lit(".sol")).alias("path"), F.replace(F.lit(SOURCE), F.lit("Base"), F.replace(F.col("n_name"), F.lit(" "), F.lit(""))).alias("content"))
+    return contracts.facts(files)
