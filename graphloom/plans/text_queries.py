@@ -239,3 +239,102 @@ def parse_sources(v: Views) -> DataFrame:
     """Facts of one invented file for each nation, whose contract bears the nation's name."""
     files = v.table("nation").select(F.concat(F.lit("src/"), "n_name", F.lit(".sol")).alias("path"), F.replace(F.lit(SOURCE), F.lit("Base"), F.replace(F.col("n_name"), F.lit(" "), F.lit(""))).alias("content"))
     return contracts.facts(files)
+
+
+def _facts(v: Views, *kinds: str) -> DataFrame:
+    return parse_sources(v).filter(F.col("kind").isin(*kinds))
+
+
+@query("parse_contracts", sql="SELECT replace(n_name, ' ', '') AS name, 'abstract' AS kind FROM nation UNION ALL SELECT 'IThing', 'interface' FROM nation")
+def parse_contracts(v: Views) -> DataFrame:
+    return _facts(v, "abstract", "contract", "library", "interface").select("name", "kind")
+
+
+@query("parse_functions", sql="SELECT replace(n_name, ' ', '') AS contract, f AS name, s AS visibility FROM nation, (VALUES ('pay', 'external'), ('sum', 'public'), ('open', 'internal')) t(f, s) UNION ALL SELECT 'IThing', 'f', 'external' FROM nation")
+def parse_functions(v: Views) -> DataFrame:
+    return _facts(v, "function").select("contract", "name", "visibility")
+
+
+@query("parse_vars", sql="SELECT replace(n_name, ' ', '') AS contract, f AS name FROM nation, (VALUES ('balances'), ('total')) t(f)")
+def parse_vars(v: Views) -> DataFrame:
+    return _facts(v, "variable").select("contract", "name")
+
+
+@query("data_flow", sql="SELECT replace(n_name, ' ', '') AS contract, f AS name, k AS kind, t AS target FROM nation, (VALUES ('pay', 'writes', 'balances'), ('sum', 'reads', 'total')) x(f, k, t)")
+def data_flow(v: Views) -> DataFrame:
+    """Writes beat reads, and a parameter hides a variable of its name."""
+    return _facts(v, "reads", "writes").select("contract", "name", "kind", "target")
+
+
+@query("infer_taint", sql="SELECT path, 'user_input' AS taint FROM (SELECT 'src/' || n_name || '.sol' AS path FROM nation)")
+def infer_taint(v: Views) -> DataFrame:
+    return _facts(v, "external_call").select("path", F.col("visibility").alias("taint"))
+
+
+@query("brace_body", sql="SELECT 'src/' || n_name || '.sol' AS path, CAST(1 AS BIGINT) AS line, CAST(11 AS BIGINT) AS line_end FROM nation")
+def brace_body(v: Views) -> DataFrame:
+    return _facts(v, "abstract").select("path", "line", "line_end")
+
+
+@query("detector_flags", sql="SELECT event_id % 7 AS node, event_type AS flag, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1, 2")
+def detector_flags(v: Views) -> DataFrame:
+    """Flags from nested analyzer results: elements exploded, kinds filtered."""
+    results = v.table("events").select("event_type", F.array(F.struct((F.col("event_id") % 7).alias("node"), F.lit("function").alias("type"))).alias("elements"))
+    rows = results.filter(F.col("event_type").isin("click", "purchase", "view")).select(F.col("event_type").alias("flag"), F.explode("elements").alias("e"))
+    return rows.filter("e.type = 'function'").groupBy(F.col("e.node").alias("node"), "flag").agg(F.count("*").alias("n"))
+
+
+@query("json_from_text", sql="SELECT conv_id, turn, '[\"' || role || '\"]' AS json FROM conversations")
+def json_from_text(v: Views) -> DataFrame:
+    text = F.concat(F.lit("I found: ["), F.lit('"'), "role", F.lit('"] and more'))
+    find = F.udf(contracts.json_array, "string", useArrow=True)
+    return v.table("conversations").select("conv_id", "turn", find(text).alias("json"))
+
+
+@query("section_tags", sql="SELECT doc_id, array_to_string(list_distinct(['root_cause'] || CASE WHEN contains(lower(text), 'license') THEN ['license', 'root_cause'] ELSE CAST([] AS VARCHAR[]) END), ',') = 'root_cause' AS plain FROM documents")
+def section_tags(v: Views) -> DataFrame:
+    own = F.when(F.lower("text").contains("license"), F.array(F.lit("license"), F.lit("root_cause"))).otherwise(F.array().cast("array<string>"))
+    return v.table("documents").select("doc_id", (F.array_join(F.array_distinct(F.concat(F.array(F.lit("root_cause")), own)), ",") == "root_cause").alias("plain"))
+
+
+@query("md_sections_b")
+def md_sections_b(v: Views) -> DataFrame:
+    """Sections of reports, long ones cut again at blank lines."""
+    docs = v.table("documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("c"))
+    rows = markup.sections(docs, "doc_id", "c")
+    return rows.select("doc_id", "section", F.posexplode(F.split("body", r"\n{2,}")).alias("part", "text")).filter(F.length("text") > markup.MIN_BODY)
+
+
+@query("source_snippets", "functions", "SELECT f.id, d.doc_id, substr(d.text, 1, 60) AS snippet FROM functions f JOIN documents d ON d.doc_id = f.ord")
+def source_snippets(v: Views) -> DataFrame:
+    d = v.table("documents").select("doc_id", F.substring("text", 1, 60).alias("snippet"))
+    return v.functions.join(d, F.col("ord") == F.col("doc_id")).select("id", "doc_id", "snippet")
+
+
+@query(
+    "graph_roundtrip",
+    "functions data_flow",
+    "SELECT f.contract, count(DISTINCT f.id) AS n_nodes, count(*) AS n_edges FROM data_flow e JOIN functions f ON f.id = e.src GROUP BY 1",
+)
+def graph_roundtrip(v: Views) -> DataFrame:
+    """Nodes and edges as JSON rows and back."""
+    edges = v.data_flow.select(F.to_json(F.struct("src", "dst", "type")).alias("j")).select(F.from_json("j", "src string, dst string, type string").alias("e")).select("e.*")
+    return edges.join(v.functions, F.col("src") == F.col("id")).groupBy("contract").agg(F.count_distinct("id").alias("n_nodes"), F.count("*").alias("n_edges"))
+
+
+@query("fts_cover_rank")
+def fts_cover_rank(v: Views) -> DataFrame:
+    """Cover density of two terms: each minimal cover counts 1 / (1 + words between). Positions alternate, so covers are neighbours."""
+    words = F.filter(F.transform(T.tokens("text"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.w.isin("the", "of"))
+    rows = v.table("documents").select("doc_id", words.alias("hits")).filter(F.size("hits") >= 2)
+    pairs = F.zip_with(F.slice("hits", F.lit(1), F.size("hits") - 1), F.slice("hits", F.lit(2), F.size("hits") - 1), lambda a, b: F.when(a.w != b.w, 1.0 / (b.i - a.i)).otherwise(0.0))
+    return rows.select("doc_id", F.round(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x), 9).alias("rank")).filter("rank > 0")
+
+
+@query("scan_sources", sql="SELECT doc_id, 'doc/' || doc_id || '.sol' AS path FROM documents WHERE doc_id % 5 <> 0")
+def scan_sources(v: Views) -> DataFrame:
+    """Paths without skipped folders."""
+    from ..sources.ingest import SKIPPED
+
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("doc/tests/"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".sol")))
+    return v.table("documents").select("doc_id", path.alias("path")).filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
