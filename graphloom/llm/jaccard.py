@@ -41,8 +41,8 @@ FREQUENT = 1 << 16
 COUNTED, SEEN = 1 << 22, 4
 #: Candidates of a centre that are searched in one block.
 BLOCK = 256
-#: Rounds with other centres while more than this share of pairs to sets is open.
-ROUNDS, OPEN = 6, 2.0
+#: Rounds with other centres, while more open pairs than this for each set are left and rounds still settle many.
+ROUNDS, OPEN, SETTLED = 6, 32.0, 0.3
 
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
@@ -160,7 +160,7 @@ def _prefixed(by_count: np.ndarray):
     return run
 
 
-_POSTING = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<i8")])
+_POSTING = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4")])
 
 
 def _dealt(by_count: np.ndarray, buckets: int):
@@ -178,7 +178,7 @@ def _dealt(by_count: np.ndarray, buckets: int):
             key = rows["h"].copy()
             if len(often):
                 heavy = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
-                key[heavy] ^= mix64(rows["node"][heavy].view(np.uint64))
+                key[heavy] ^= mix64(np.ascontiguousarray(rows["node"][heavy]).view(np.uint64))
             at = (mix64(key) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(at, kind="stable")
             rows, at = rows[order], at[order]
@@ -210,11 +210,12 @@ def _listed(by_count: np.ndarray):
         rows, sizes, heavy = rows[pick], sizes[keep], heavy[keep]
         first = np.cumsum(sizes) - sizes
         centre = np.repeat(first, sizes)
-        near = (100 * np.minimum(rows["n"], rows["n"][centre]) >= PERCENT * np.maximum(rows["n"], rows["n"][centre])) & (centre != np.arange(len(rows)))
+        size, own = rows["n"].astype(np.int64), rows["n"][centre].astype(np.int64)
+        near = (100 * np.minimum(size, own) >= PERCENT * np.maximum(size, own)) & (centre != np.arange(len(rows)))
         pairs = np.unique(np.stack([rows["node"][centre][near], rows["node"][near]], axis=1), axis=0)
         more = np.repeat(heavy | (sizes > 2), sizes)
         top = first[heavy]
-        for kind, a, b, n in ((0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)), (1, rows["h"][more].view(np.int64), rows["node"][more], rows["n"][more]), (2, rows["h"][top].view(np.int64), rows["node"][top], rows["n"][top])):
+        for kind, a, b, n in ((0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)), (1, np.ascontiguousarray(rows["h"][more]).view(np.int64), rows["node"][more], rows["n"][more].astype(np.int64)), (2, np.ascontiguousarray(rows["h"][top]).view(np.int64), rows["node"][top], rows["n"][top].astype(np.int64))):
             for i in range(0, len(a), 1 << 16):
                 j = min(i + (1 << 16), len(a))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, kind, np.int32)), *(pa.array(np.ascontiguousarray(x[i:j])) for x in (a, b, n))], names=["kind", "a", "b", "n"])
@@ -277,7 +278,7 @@ class Index:
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by centre and block, the centre first; emits the links found (a spanning part of them)."""
+    """Rows come sorted by centre and block, the centre first; emits the links between both."""
     key, nodes, sets = None, [], []
 
     def links() -> list[tuple[int, int]]:
@@ -307,40 +308,36 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     found: list[tuple[int, int]] = []
     for b in batches:
-        for a, block, node, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for (_, s), a, block, node in zip(_sets(b.column(3)), *(b.column(i).to_pylist() for i in range(3)), strict=True):
             if (a, block) != key:
                 found += links()
                 key, nodes, sets = (a, block), [], []
                 if len(found) > 10_000:
                     yield batch(found)
                     found = []
-            if node not in nodes[-1:]:
+            # of rows that share a doc_id, only the one with this set counts
+            if node not in nodes[-1:] and node_of(s) == node:
                 nodes.append(node)
-                sets.append(np.frombuffer(raw, np.uint64))
+                sets.append(s)
     found += links()
     yield batch(found)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the texts that stand for a node."""
-    for b in batches:
-        nodes = b.column(0).to_pylist()
-        got = [(v, s.tobytes()) for (_, s), v in zip(_sets(b.column(1)), nodes, strict=True) if len(s) and node_of(s) == v]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary())], names=["node", "s"])
-
-
 def search(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) among candidate pairs (a, b), found in blocks around each a."""
     spark = pairs.sparkSession
     n = parts(spark)
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     stand = nodes.join(need, "node").select("node", "doc_id")
-    sets = saved(stand.join(docs.select("doc_id", "text"), "doc_id").select("node", "text").mapInArrow(_packed, "node long, s binary"), "sets").dropDuplicates(["node"])
+    # texts are a third of the size of their sets, so they travel and the sets are made again
+    texts = saved(stand.join(docs.select("doc_id", "text"), "doc_id").select("node", "text"), "texts")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("node"), F.lit(1).alias("later"))
     centre = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"), F.lit(0).alias("later"))
-    rows = member.union(centre).join(sets, "node").repartition(n, "a", "block").sortWithinPartitions("a", "block", "later", "node")
-    return rows.select("a", "block", "node", "s").mapInArrow(_searched, "a long, b long")
+    rows = member.union(centre).join(texts, "node").repartition(n, "a", "block").sortWithinPartitions("a", "block", "later", "node")
+    links = saved(rows.select("a", "block", "node", "text").mapInArrow(_searched, "a long, b long"), "links")
+    dropped(texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -369,17 +366,19 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = parts(spark)
     dealt = sets.filter("prefix is not null and doc_id is not null").select("node", "n", "prefix").mapInArrow(_dealt(often, buckets), "bucket int, rows binary")
     lists = saved(dealt.repartitionById(buckets, F.col("bucket")).select("rows").mapInArrow(_listed(often), "kind int, a long, b long, n long"), "lists")
+    prefixes, sets = sets, saved(sets.drop("prefix"), "nodes")
+    dropped(prefixes)
     nodes = saved(sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
 
     split = lists.filter("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"), "n")
     top = split.groupBy("h").agg(F.min(F.struct("node", "n")).alias("c"))
     tied = split.join(top, "h").filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
     pairs = saved(lists.filter("kind = 0").select("a", "b").union(tied).distinct(), "pairs")
-    links = saved(search(pairs, docs, nodes), "links")
+    links = search(pairs, docs, nodes)
     root = components(links)
 
     open_ = lists.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"), "n").distinct()
-    total = nodes.count()
+    total, before = nodes.count(), math.inf
     for turn in range(ROUNDS + 1):
         own = open_.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
@@ -390,7 +389,8 @@ def classes(docs: DataFrame) -> DataFrame:
             dropped(own)
             break
         fits = f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and x.root <> y.root"
-        last = wide <= OPEN * total or turn == ROUNDS
+        last = wide <= OPEN * total or turn == ROUNDS or wide > (1 - SETTLED) * before
+        before = wide
         if last:
             new = own.alias("x").join(own.alias("y"), F.expr(f"x.h = y.h and x.node < y.node and {fits}"))
         else:
@@ -399,7 +399,7 @@ def classes(docs: DataFrame) -> DataFrame:
         new = new.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = saved(new.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = saved(search(new, docs, nodes), "links")
+        found = search(new, docs, nodes)
         if not found.isEmpty():
             links = saved(links.union(found), "links")
             root = components(links)
