@@ -284,24 +284,8 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links() -> list[tuple[int, int]]:
         if len(nodes) < 2:
             return []
-        index, group = Index(sets), list(range(len(nodes)))
-
-        def root(i: int) -> int:
-            while group[i] != i:
-                group[i] = i = group[group[i]]
-            return i
-
-        out = []
-        for q in range(len(nodes)):  # the centre searches, and every set that nobody has found yet
-            if q and root(q) != q:
-                continue
-            for y in index.search(sets[q]):
-                if (a := root(q)) != (b := root(y)):
-                    group[max(a, b)] = min(a, b)
-                    out.append((nodes[q], nodes[y]))
-            if len(nodes) == 2:
-                break
-        return out
+        # only the centre searches: pairs of its candidates that matter still meet when the components are compared
+        return [(nodes[0], nodes[y]) for y in Index(sets).search(sets[0]) if y]
 
     def batch(found: list[tuple[int, int]]):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
