@@ -4,7 +4,13 @@ Documents that share lines become pairs of a later and an earlier document (by d
 or fewer, pairs each of them with every earlier one; a more frequent line pairs them with its first holder, so that
 pairs grow with the lines. Each pair is aligned by patience diff (lines unique in both anchor the alignment, which is
 then refined between anchors), and aligned common blocks of MIN_WORDS words or more are deleted from the later one.
-The first holder of a line keeps it.
+
+An exact pass follows for what alignments miss: blocks that are moved or repeated, and frequent lines whose first
+holder lacks the block. Every text gives the hashes of its windows, the shortest runs of lines with MIN_WORDS words
+that start or that end at a line; each window of a later document that an earlier one has as well leaves it. Any common
+block is covered by windows inside it, so a text keeps no block of MIN_WORDS words that an earlier document has. The
+first holder of a block keeps it, with all its copies there. Blocks are those of the given texts, not ones that
+deletions bring together; hashes of 64 bits stand for lines and windows.
 
 Defined results: empty lines never count; null and empty texts are left alone; nulls in doc_id come last in the order;
 rows equal in doc_id and text are one document and are treated alike; among rows that share a doc_id alone, a hash of
@@ -20,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, runs, saved, segment_hashes, slices, utf8
+from .common import dropped, mix64, runs, saved, segment_hashes, slices, utf8
 
 RARE, MIN_WORDS = 6, 8
 LINE = np.dtype([("h", "<u8"), ("w", "<u4")])
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -33,21 +41,36 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     out["h"] = segment_hashes(data, starts, ends)
     begins = np.zeros(len(data) + 1, np.int64)
     word = data > 32
-    begins[1:] = np.cumsum(word & np.r_[True, ~word[:-1]]) if len(data) else 0
+    fresh = np.r_[True, ~word[:-1]] if len(data) else word
+    fresh[offsets[offsets < len(data)]] = True  # the text before may end in a word
+    begins[1:] = np.cumsum(word & fresh)
     out["w"] = begins[ends] - begins[starts]
     at = np.searchsorted(starts, offsets)
     return [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
+def windows(lines: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and end of the shortest runs of a text's lines with min_words or more from, and up to, each line."""
+    n = len(lines)
+    words = np.r_[0, np.cumsum(lines["w"], dtype=np.int64)]
+    at = np.arange(n + 1)
+    end, start = np.searchsorted(words, words + min_words, "left"), np.searchsorted(words, words - min_words, "right") - 1
+    i, j = np.concatenate([at[end <= n], start[start >= 0]]), np.concatenate([end[end <= n], at[start >= 0]])
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)].astype(np.uint64))
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)].astype(np.uint64))
+    sums = np.r_[np.uint64(0), np.cumsum(lines["h"] * powers[:n], dtype=np.uint64)]
+    return mix64((sums[j] - sums[i]) * back[i] + (j - i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), i, j
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = utf8(b.column(2))
         for i, j in slices(offsets):
             own = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            heads = [np.unique(x["h"]).view(np.int64) for x in own]
+            heads, spans = ([np.unique(x).view(np.int64) for x in of] for of in ([x["h"] for x in own], [windows(x)[0] for x in own]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                names=["ord", "digest", "lines", "heads"],
+                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))],
+                names=["ord", "digest", "lines", "heads", "spans"],
             )
 
 
@@ -125,6 +148,22 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["ord", "digest", "gone"])
 
 
+def covered(lines: np.ndarray, had: np.ndarray) -> list[int]:
+    """Numbers of a text's lines that lie in windows with one of the given hashes."""
+    h, i, j = windows(lines)
+    hit = np.isin(h, had)
+    depth = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(depth, i[hit], 1)
+    np.add.at(depth, j[hit], -1)
+    return np.flatnonzero(np.cumsum(depth)[:-1]).tolist()
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        gone = [covered(np.frombuffer(x, LINE), np.array(had, np.int64).view(np.uint64)) for x, had in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["ord", "digest", "gone"])
+
+
 def _rewritten(text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +189,7 @@ def _rewritten(text_at: int, names: list[str]):
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(ord, digest, gone): line numbers to delete, of every document that loses lines."""
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("digest"), F.col("text").cast("string"))
-    rows = keys.filter("text is not null and text <> ''").mapInArrow(_lines, "ord long, digest long, lines binary, heads array<long>")
+    rows = keys.filter("text is not null and text <> ''").mapInArrow(_lines, "ord long, digest long, lines binary, heads array<long>, spans array<long>")
     rows = saved(rows, "lines")
     held = rows.select("ord", "digest", F.explode("heads").alias("h")).distinct()
     me = F.struct("ord", "digest")
@@ -164,9 +203,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     own = pairs.join(text, ["ord", "digest"])
     other = text.select(F.col("ord").alias("e_ord"), F.col("digest").alias("e_digest"), F.col("lines").alias("e_lines"))
     met = own.join(other, ["e_ord", "e_digest"]).select("ord", "digest", "lines", "e_lines")
-    gone = met.mapInArrow(_aligned, "ord long, digest long, gone array<int>").select("ord", "digest", F.explode("gone").alias("line"))
+    aligned = met.mapInArrow(_aligned, "ord long, digest long, gone array<int>")
+    spans = rows.select("ord", "digest", F.explode("spans").alias("h"))
+    first = saved(spans.groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last")).filter("first <> last").select("h", "first"), "spans")
+    had = spans.join(first, "h").filter(me > F.col("first")).groupBy("ord", "digest").agg(F.collect_set("h").alias("had"))
+    rest = text.join(had, ["ord", "digest"]).mapInArrow(_covered, "ord long, digest long, gone array<int>")
+    gone = aligned.union(rest).select("ord", "digest", F.explode("gone").alias("line"))
     gone = saved(gone.groupBy("ord", "digest").agg(F.collect_set("line").alias("_gone")), "gone")
-    dropped(rows, shared)
+    dropped(rows, shared, first)
     return gone
 
 

@@ -217,6 +217,33 @@ def test_repeated_blocks_leave_the_later_text(docs, edge, none):
     assert sorted(Counter((r.doc_id, r.text) for r in after).values()) == [1, 1, 1, 1, 1, 2]
 
 
+def test_moved_and_repeated_blocks_leave_every_later_text(docs):
+    rng = random.Random(21)
+    p, q, *short = [prose(rng, 60), prose(rng, 60), *(f"s{k} t{k} u{k}" for k in range(4))]
+    rows = [(1, [p, "one", p]), (2, [p, q])]  # the first holder of p has it twice
+    rows += [(3 + k, [q, f"own {k}", p, f"end {k}", p]) for k in range(9)]  # and the order is another one
+    rows += [(20 + k, [short[k], f"alone {k}"]) for k in range(4)]  # the first holders of short lines lack the block
+    rows += [(30 + k, [f"mine {k}", *short]) for k in range(9)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.without_repeats(docs([(i, "\n".join(x), None, None) for i, x in rows])).collect()}
+    want = dict(rows) | {2: [q]} | {3 + k: [f"own {k}", f"end {k}"] for k in range(9)} | {31 + k: [f"mine {k + 1}"] for k in range(8)}
+    assert got == want
+
+
+def test_repeated_blocks_equal_brute_force(docs):
+    rng = random.Random(22)
+    pool = [prose(rng, rng.randint(1, 6)) for _ in range(12)] + [" ", ""]
+    rows = [(i, [rng.choice(pool) for _ in range(rng.randint(1, 12))]) for i in range(60)]
+    want, before = {}, []
+    for i, x in rows:
+        x = [y for y in x if y]
+        runs = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if len(" ".join(x[a:b]).split()) >= line_dedup.MIN_WORDS]
+        want[i] = len({k for a, b in runs if any(x[a:b] == y[c : c + b - a] for y in before for c in range(len(y))) for k in range(a, b)})
+        before.append(x)
+    got = {r.doc_id: r.n_removed for r in line_dedup.without_repeats(docs([(i, "\n".join(x), None, None) for i, x in rows])).collect()}
+    assert got == want and 0 < sum(want.values())
+
+
 # 6: language
 
 
