@@ -148,12 +148,13 @@ def _prefixed(by_count: np.ndarray):
         seen: set[int] = set()
         for b in batches:
             n, node, packed = [], [], []
-            for _, s in _sets(b.column(1)):
+            for known, (_, s) in zip(b.column(0).is_valid().to_pylist(), _sets(b.column(1)), strict=True):
                 v = node_of(s) if len(s) else None
                 n.append(len(s))
                 node.append(v)
-                packed.append(prefix(s, by_count[order], order).tobytes() if v is not None and v not in seen else None)
-                if v is not None and len(seen) < 1 << 20:
+                fresh = known and v is not None and v not in seen  # a row without an id must not stand for one with an id
+                packed.append(prefix(s, by_count[order], order).tobytes() if fresh else None)
+                if fresh and len(seen) < 1 << 20:
                     seen.add(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "node", "prefix"])
 

@@ -121,6 +121,15 @@ def test_jaccard_edges(edge, none):
     assert all(r.component_id == r.doc_id for r in got)
 
 
+def test_rows_without_id_take_no_links_from_others(docs):
+    rng = random.Random(23)
+    words = [rng.choice(WORDS) + str(k) for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, text, None, None), (8, text, None, None), (9, near, None, None), (None, near, None, None)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.classes(docs(rows).coalesce(1)).collect())
+    assert got == Counter({(None, None): 2, (8, 8): 1, (9, 8): 1})
+
+
 # 3: decontamination
 
 
