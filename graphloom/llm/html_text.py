@@ -6,7 +6,9 @@ and trained in numpy, reads all blocks of a page in both directions and marks ea
 on pages made here and on a bounded sample of the input (SAMPLE_PAGES), labelled by what their tags and names say.
 
 Defined results: a null page counts as empty; without main text, text is '' and n_chars 0. Scripts, styles, comments
-and markup never give blocks. A br parts blocks. Pages are read one by one, so repeated rows get equal results; extra
+and markup never give blocks, nor does what lies in svg, noscript or template. These end at '/>', at their end tag or
+with their parent, svg also before an HTML element that cannot lie in it; one that has no end tag and only the page as
+its parent hides nothing. A br parts blocks. Pages are read one by one, so repeated rows get equal results; extra
 columns are ignored.
 """
 
@@ -37,7 +39,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SCOPE = frozenset("table ul ol dl div section article aside nav header footer main form body select td th".split())
+SCOPE = frozenset("table ul ol dl div section article aside nav header footer main form body select td th svg noscript template foreignobject desc".split())
+# Hidden elements; those that end an svg by starting in it, and the parts of an svg that may hold them.
+UNSEEN = frozenset("svg noscript template".split())
+ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_IN_SVG, WHOLE = frozenset("foreignobject desc title".split()), frozenset("html head body".split())
 
 #: Tags and names that tell what a part of a page is, for training labels only.
 ASIDE_TAGS = "nav header footer aside form menu button select dialog head title label".split()
@@ -48,11 +54,12 @@ ASIDE_NAMES = (
 MAIN_TAGS = "article main".split()
 MAIN_NAMES = "content main article post entry story body text entry-content post-content article-body main-content".split()
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|[^<]+|<",
-    re.S | re.I,
-)
+_RAW = r"<(script|style|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+_REST = r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|[^<]+|<"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|" + _RAW + _REST, re.S | re.I)
+#: Tokens inside an svg, where CDATA is text and no element is raw text; the first group never matches.
+_SVG_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|((?!))" + _REST, re.S | re.I)
+_HIDDEN_END = re.compile(r"</(svg|noscript|template)\b", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -70,7 +77,9 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     path: tuple[str, ...] = ()
-    linked = links = 0
+    linked = links = hidden = 0
+    grounds: list[int] = []  # places on the stack where svg begins, or HTML inside it
+    ends_at: dict[str, int] | None = None  # last end tag of the hidden elements
 
     def flush() -> None:
         nonlocal held, linked
@@ -81,16 +90,25 @@ def blocks_of(page: str) -> list[Block]:
         held, linked = [], 0
 
     def pop(n: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         for tag, _ in stack[n:]:
             links -= tag == "a"
+            hidden -= tag in UNSEEN
+        while grounds and grounds[-1] >= n:
+            grounds.pop()
         del stack[n:]
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while at < len(page):
+        svg = bool(grounds) and stack[grounds[-1]][0] == "svg"
+        m = (_SVG_TOKEN if svg else _TOKEN).match(page, at)
+        at = m.end()
         tag = m[3]
         if tag is None:
             t = m[0]
             if t[0] != "<" or t == "<":
+                if hidden:
+                    continue
                 if not held and not t.isspace():
                     path = tuple(x for _, own in stack for x in own)
                 held.append(t)
@@ -102,13 +120,18 @@ def blocks_of(page: str) -> list[Block]:
         if m[2]:
             if tag not in INLINE:
                 flush()
+            within = hidden
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
                     pop(n)
                     break
-                if tag in INLINE and stack[n][0] not in INLINE:
+                if tag in INLINE and stack[n][0] not in INLINE and not within:
                     break
+                within -= stack[n][0] in UNSEEN
             continue
+        if svg and tag in ENDS_SVG:
+            while grounds and stack[grounds[-1]][0] == "svg":
+                pop(grounds[-1])
         if tag not in INLINE:
             flush()
             ends = CLOSES.get(tag, ()) if tag not in ENDS_P or tag == "p" else ("p",)
@@ -119,9 +142,20 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[n][0] in SCOPE:
                     break
         if tag not in VOID and not m[4].endswith("/"):
+            if tag in UNSEEN:
+                if tag == "noscript" and hidden and any(x == tag for x, _ in stack):
+                    continue
+                if all(x in WHOLE for x, _ in stack[-1:]):
+                    if ends_at is None:
+                        ends_at = {e[1].lower(): e.start() for e in _HIDDEN_END.finditer(page)}
+                    if ends_at.get(tag, -1) < at:
+                        continue
             names = [x for a in _NAMED.findall(m[4]) for x in re.split(r"[\s_]+", "".join(a).lower()) if x]
             stack.append((tag, (tag, *("." + x for x in names))))
             links += tag == "a"
+            hidden += tag in UNSEEN
+            if tag == "svg" or grounds and tag in HTML_IN_SVG:
+                grounds.append(len(stack) - 1)
     flush()
     return found
 

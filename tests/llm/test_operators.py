@@ -386,6 +386,35 @@ def test_blocks_decode_and_join_white_space():
     assert html.unescape("&nbsp;").isspace()
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<svg class="x"/>',
+        '<SVG viewBox="0 0 1 1"><style/><script/><path d="M0"/></SVG>',
+        "<svg><g>no<svg>no</svg>no</g>no</svg>",
+        "<svg><title>no</title><foreignObject><p>no</p></foreignObject><text>no</svg>",
+        "<svg><![CDATA[ </svg> no ]]></svg>",
+        "<template><p>no<template>no</template>no</template>",
+        "<noscript><img src=x><p>no</p></noscript>",
+        "<div><noscript>no<p>no</div>",
+        "<div><template><b>no</div>",
+        "<p><a href=x><svg><path d='M0'></a></p>",
+        "<div><svg><g>no</div>",
+        "<script>if (a < b) '<p>no</p>'</script><iframe><p>no</iframe><textarea><p>no</textarea>",
+        "<svg><g>no",
+    ],
+)
+def test_hidden_parts_hide_only_themselves(part):
+    own = html_text.blocks_of(f"<body><article><p>One</p>{part}<p>two</p></article><p>three</body>")
+    assert [b.text for b in own] == ["One", "two", "three"]
+    assert own[1].path == ("body", "article", "p")
+
+
+@pytest.mark.parametrize("tag", ["svg", "noscript", "template"])
+def test_an_unclosed_hidden_part_of_the_page_hides_nothing(tag):
+    assert [b.text for b in html_text.blocks_of(f"<html><body><{tag}><article><h1>One</h1>two<p>three</article></body></html>")] == ["One", "two", "three"]
+
+
 # 10: licences
 
 
