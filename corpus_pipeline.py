@@ -16,8 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; a text without letters, or null, goes. Learns from the labelled rows of docs."""
+    """Rows whose text has a language; a text without letters, or null, goes. Learns from the labelled rows of docs, and
+    without a model, for want of labels, keeps every text that has a letter."""
     model = language.fit(docs, F.coalesce(~language.held_out(), F.lit(False)))
+    if model is None:
+        return docs.filter(language.has_letter())
     keep = docs.columns
     found = language.identify(docs.withColumn("_keep", F.struct(*keep)), model, ["_keep"])
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select("_keep.*")

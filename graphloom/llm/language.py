@@ -258,6 +258,10 @@ def fit(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str
     return train([r.text for r in got], [r.lang for r in got])
 
 
+def has_letter(text_col: str = "text") -> F.Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def _labelled(m: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(m) if m is not None else None
@@ -279,7 +283,7 @@ def _labelled(m: Model | None):
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` with lang_pred and score. The model goes along with the tasks; its size is fixed."""
-    rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text"), has_letter(text_col).alias("_letter"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(_labelled(model), f"{kinds}, lang_pred string, score double")
 

@@ -22,6 +22,14 @@ def test_stages_keep_columns_and_decide(spark):
         docs = out
 
 
+def test_texts_with_letters_stay_without_labels(docs):
+    rows = [(1, "Some words that are long enough for a window of the model", None, "a"), (2, "\u00e9", None, None), (None, "x", None, None), (3, "12 34!", None, None), (4, None, None, None), (5, "", None, None)]
+    own = docs(rows)
+    out = corpus_pipeline.known_language(None, own, SF)
+    assert out.columns == own.columns
+    assert sorted(r.text for r in out.collect()) == sorted(r[1] for r in rows[:3])
+
+
 def test_run_equals_stages(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.columns == ["doc_id", "piece", "start_word", "n_words", "bin_id", "bin_start"]
