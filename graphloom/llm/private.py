@@ -1,10 +1,11 @@
 """Operator 7: personal data, by base patterns and bootstrapped contextual extraction.
 
 One scan finds the base entities (seeds) and other strings of a related form (mentions), each with its lexical
-pattern: the two words before it and its kind. Spark then scores the graph of patterns and instances in rounds: a
-pattern is as good as the mean of its instances, an unseen instance as good as DAMP times its best pattern. Patterns
-with MIN_SEEDS distinct seeds and a score of MIN_SCORE or more are trusted, and the mentions in their slot become
-spans beside the base ones.
+pattern: the two words before it and its kind. Spark then scores the graph of patterns and instances: a pattern is as
+good as the mean of its instances, an unseen instance as good as DAMP times its best pattern with MIN_SEEDS distinct
+seeds. Rounds from below and from above bound the only fixpoint of that, until it is settled for every pattern on which
+side of MIN_SCORE it lies. Patterns with MIN_SEEDS and a score of MIN_SCORE or more are trusted, and the mentions in
+their slot become spans beside the base ones. Only base entities are seeds, not what trusted patterns find.
 
 Defined results: a null text counts as empty, n_* count base spans, offsets are code points. Rows are kept apart
 even where doc_id repeats or is null. Extra columns are ignored. Work is linear in the length of a text.
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import dropped, saved
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, DAMP, MIN_SEEDS, MIN_SCORE = 3, 0.8, 3, 0.6
+DAMP, MIN_SEEDS, MIN_SCORE = 0.8, 3, 0.6
+#: Decimals of a score; rounds end at such a distance of the bounds too, for a score that is MIN_SCORE itself.
+DECIMALS = 9
 
 # Fixed patterns of the base entities.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -146,17 +149,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def score_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind, seeds, score) after ROUNDS of scoring the graph of (pattern, kind, value, seed) edges."""
+    """(pattern, kind, seeds, score) on the graph of (pattern, kind, value, seed) edges; the side of MIN_SCORE is that of the fixpoint."""
     edges = saved(found.filter("pattern <> ''").groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")), "edges")
-    value = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("worth"))
-    for _ in range(ROUNDS):
-        scored = edges.join(value, ["kind", "value"]).groupBy("pattern", "kind").agg(F.avg("worth").alias("score"), F.count_if("seed").alias("seeds"))
+    value = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("low")).withColumn("high", F.greatest("low", F.lit(DAMP)))
+    before = []
+    while True:
+        scored = edges.join(value, ["kind", "value"]).groupBy("pattern", "kind").agg(F.avg("low").alias("low"), F.avg("high").alias("high"), F.count_if("seed").alias("seeds"))
         scored = saved(scored, "patterns")
+        dropped(*before)
+        if scored.filter((F.col("seeds") >= MIN_SEEDS) & (F.col("low") < MIN_SCORE) & (F.col("high") >= MIN_SCORE) & (F.col("high") - F.col("low") > 0.1**DECIMALS)).isEmpty():
+            break
         best = edges.join(scored, ["pattern", "kind"]).groupBy("kind", "value")
-        trusted = F.when(F.col("seeds") >= MIN_SEEDS, F.col("score") * DAMP).otherwise(0.0)
-        value = best.agg(F.when(F.max("seed"), 1.0).otherwise(F.max(trusted)).alias("worth"))
+        value = best.agg(*(F.when(F.max("seed"), 1.0).otherwise(F.max(F.when(F.col("seeds") >= MIN_SEEDS, F.col(x) * DAMP).otherwise(0.0))).alias(x) for x in ("low", "high")))
+        before = [scored]
     dropped(edges)
-    return scored
+    return scored.select("pattern", "kind", "seeds", F.round((F.col("low") + F.col("high")) / 2, DECIMALS).alias("score"))
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
