@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import SLICE_BYTES, slices, utf8
 
-#: Bounds of the training sample: texts a language, languages, and code points of the one window taken of a text.
-SAMPLE_PER_LANG, LANGS, SAMPLE_CHARS = 400, 64, 384
+#: Bounds of the training sample: texts a language, and code points of the one window taken of a text.
+SAMPLE_PER_LANG, SAMPLE_CHARS = 400, 384
 #: Network and training.
 HIDDEN, WINDOW, EPOCHS, BATCH, RATE = 6, 64, 4, 256, 0.02
 UNKNOWN = "und"
@@ -167,8 +167,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
     return m
 
 
-#: Windows that the network reads side by side.
-LANES = 1024
+#: Windows that the network reads side by side, fewer with more languages than LANGS.
+LANES, LANGS = 1024, 64
 
 
 class Reader:
@@ -228,32 +228,32 @@ def predict(data: np.ndarray, offsets: np.ndarray, read: Reader) -> np.ndarray:
     end = offsets[owner + 1] if n else start
     total = np.zeros((n, c))
     data = _FOLD[data]
-    for i in range(0, len(owner), LANES):
-        s, e = start[i : i + LANES], end[i : i + LANES]
+    lanes = max(1, LANES * LANGS // max(c, LANGS))
+    for i in range(0, len(owner), lanes):
+        s, e = start[i : i + lanes], end[i : i + lanes]
         at = s + np.arange(WINDOW)[:, None]
         real = at < e
         x = data[np.minimum(at, e - 1)].astype(np.intp)
         x[~real] = 32
         v = read(x)
         v *= real[:, None, :]
-        np.add.at(total, owner[i : i + LANES], v.sum(axis=0).T)
+        np.add.at(total, owner[i : i + lanes], v.sum(axis=0).T)
     return total / np.maximum(lengths, 1)[:, None]
 
 
 def fit(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on a bounded sample, alike for every language: the rows that `learn` admits, chosen by a hash of the id."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS).collect()}
+    counts = [(r[0], SAMPLE_PER_LANG / r[1]) for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()]
     if not counts:
         return None
     share = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep |= (F.col(lang_col) == lang) & (share < min(1.0, SAMPLE_PER_LANG / n))
+    rates = F.broadcast(docs.sparkSession.createDataFrame(counts, "_lang string, _rate double"))
     offset = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1))) + 1
     window = F.col(text_col).substr(offset.cast("int"), F.lit(SAMPLE_CHARS))
     # the ids are counted above, so this stays near SAMPLE_PER_LANG rows a language
-    got = rows.filter(keep).select(F.col(lang_col).alias("lang"), window.alias("text"), F.col(id_col).cast("string").alias("id")).collect()
+    rows = rows.join(rates, F.col(lang_col).cast("string") == F.col("_lang")).filter(share < F.col("_rate"))
+    got = rows.select(F.col("_lang").alias("lang"), window.alias("text"), F.col(id_col).cast("string").alias("id")).collect()
     got = sorted(got, key=lambda r: (r.id or "", r.text))
     return train([r.text for r in got], [r.lang for r in got])
 
@@ -269,7 +269,7 @@ def _labelled(m: Model | None):
             data, offsets = utf8(b.column("_text"))
             lang, score = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
             if read is not None:
-                for i, j in slices(offsets):
+                for i, j in slices(offsets, SLICE_BYTES * LANGS // max(len(m.langs), LANGS)):
                     p = predict(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], read)
                     best = p.argmax(axis=1)
                     lang[i:j], score[i:j] = np.array(m.langs, object)[best], p[np.arange(j - i), best]

@@ -269,6 +269,14 @@ def test_language_learns_and_knows_nothing_of_no_letters(docs, edge, none):
     assert language.identify_documents(edge).count() == 7
 
 
+def test_every_language_is_learned(docs):
+    rng = random.Random(24)
+    rows = [(3 * k + i, " ".join(rng.choice(WORDS) for _ in range(20)), f"l{k:02d}", None) for k in range(70) for i in range(3)]
+    m = language.fit(docs(rows), F.lit(True))
+    assert m.langs == [f"l{k:02d}" for k in range(70)]
+    assert all(r.lang_pred in m.langs for r in language.identify(docs(rows), m, ["doc_id"]).collect())
+
+
 def test_backpropagation_equals_differences():
     rng = np.random.default_rng(12)
     d = language._direction(rng)
