@@ -2,14 +2,17 @@
 
 A document's set holds its distinct five-word shingles, as 64-bit hashes; equal sets collapse to one node first.
 
-1. Every set has an inverted-list entry for each shingle of its prefix: of n shingles, ordered rare before frequent,
-   the first n - ceil(0.8 n) + 1. Sets that link share one of them. The order only steers the work: a shingle counts as
-   frequent if it is among the FREQUENT most common ones, any order is right.
-2. Each list ties its sets to one centre, so candidates grow with the lists and not with their squares. Lists of
+1. A shingle that no other set has cannot count towards an overlap, so a set in which more than a fifth of the shingles
+   are alone links with nothing and leaves. A hashed share of all shingles, in five bytes each, is enough to show that
+   for most sets; what a task can tell of its own rows it does not send.
+2. For the sets left, all shingles are counted exactly. Ordered rare before frequent, of n shingles the first
+   n - ceil(0.8 n) + 1 are the prefix of a set, and sets that link share one of them. Shingles that are alone fill the
+   prefix first and need no inverted-list entry; those that are frequent by a hint of fixed size come last.
+3. Each list ties its sets to one centre, so candidates grow with the lists and not with their squares. Lists of
    frequent shingles are split by salt, and the parts' centres tied in turn.
-3. A centre and a block of its candidates form one search: an inverted index over the block, the short lists merged
+4. A centre and a block of its candidates form one search: an inverted index over the block, the short lists merged
    on a heap, the long ones probed by bisection (DivideSkip), and sets with the required overlap retained.
-4. Links give components. Lists whose sets lie in different components are searched again, with other centres while
+5. Links give components. Lists whose sets lie in different components are searched again, with other centres while
    the open pairs are many, then pair by pair, until no pair of a list that could link two components is left. Pairs
    inside a component need no search, which keeps large groups of near copies from growing with their squares.
 
@@ -39,6 +42,10 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT = 1 << 16
 #: Hashes that a task counts at once for the hint, and how often one must occur among them.
 COUNTED, SEEN = 1 << 22, 4
+#: Bytes of text whose shingles a task holds at once.
+PORTION = 1 << 24
+#: Share of all shingles, by hash, whose owners are counted over all rows.
+SHARE = 0.4
 #: Candidates of a centre that are searched in one block.
 BLOCK = 256
 #: Rounds with other centres, while more open pairs than this for each set are left and rounds still settle many.
@@ -84,6 +91,13 @@ def _sets(column) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i)
 
 
+def _portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts hold more than PORTION bytes; a longer text is alone."""
+    for b in batches:
+        for i, j in slices(utf8(b.column(column))[1], PORTION):
+            yield b.slice(i, j - i)
+
+
 def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -127,40 +141,209 @@ def frequent(docs: DataFrame) -> np.ndarray:
     return np.array([r.h for r in rows], np.int64).view(np.uint64)
 
 
-def prefix(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The part of a set that must meet any set that links with it; often ascends, rank is the order of commonness."""
-    size = len(s) - -(-PERCENT * len(s) // 100) + 1
-    if not len(often) or not len(s):
-        return s[:size]
-    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-    common = often[at] == s
-    light = s[~common]
-    if len(light) >= size:
-        return light[:size]
-    heavy = s[common][np.argsort(rank[at[common]], kind="stable")]
-    return np.concatenate([light, heavy[: size - len(light)]])
+def allowed(n):
+    """How many shingles a set of n may have that a linked set lacks; n may be a number or a Column."""
+    return n - n * PERCENT // 100 - (n * PERCENT % 100 > 0)
+
+
+def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values."""
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    return first, np.r_[first[1:], len(at)] if len(at) else first
+
+
+def _five(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
 
 
-def _prefixed(by_count: np.ndarray):
-    order = np.argsort(by_count)
+def _told(buckets: int):
+    """For each row (kind 0) doc_id, n, node, how many of its shingles are in the share, and how many of those another
+    set of the batch has too. For each bucket (kind 1) the shingles of the share that one set of the batch has, by
+    set, and (marked) those that several have, once."""
+    limit = np.uint64(int(SHARE * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            n, node, packed = [], [], []
-            for known, (_, s) in zip(b.column(0).is_valid().to_pylist(), _sets(b.column(1)), strict=True):
+        for b in _portions(batches, 1):
+            ids, n, node, sets = b.column(0), [], [], {}
+            for known, (_, s) in zip(ids.is_valid().to_pylist(), _sets(b.column(1)), strict=True):
                 v = node_of(s) if len(s) else None
                 n.append(len(s))
                 node.append(v)
-                fresh = known and v is not None and v not in seen  # a row without an id must not stand for one with an id
-                packed.append(prefix(s, by_count[order], order).tobytes() if fresh else None)
-                if fresh and len(seen) < 1 << 20:
-                    seen.add(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "node", "prefix"])
+                if known and v is not None and v not in sets:  # a row without an id must not stand for one with an id
+                    sets[v] = s[: int(np.searchsorted(s, limit))]
+            names = np.array(list(sets), np.int64)
+            sizes = np.array([len(x) for x in sets.values()], np.int64)
+            h = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
+            own = np.repeat(np.arange(len(names)), sizes)
+            order = np.argsort(h, kind="stable")
+            h, own = h[order], own[order]
+            first, end = _grouped(h)
+            several = np.repeat(end - first > 1, end - first)
+            local = np.bincount(own[several], minlength=len(names))
+            row = dict(zip(names.tolist(), zip(sizes.tolist(), local.tolist(), strict=True), strict=True))
+            told = [row.get(v, (0, 0)) for v in node]
+            m = len(n)
+            empty = pa.nulls(m, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.int64()), pa.nulls(m, pa.int32()), empty, empty, empty, empty], names=_TOLD)
+            one, many = h[~several], h[first[end - first > 1]]
+            own = own[~several]
+            at = ((one >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((own, at))
+            one, own, at = one[order], own[order], at[order]
+            at_many = ((many >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(at_many, kind="stable")
+            many, at_many = many[order], at_many[order]
+            used = np.union1d(at, at_many)
+            lo, hi = np.searchsorted(at, used), np.searchsorted(at, used, "right")
+            lo2, hi2 = np.searchsorted(at_many, used), np.searchsorted(at_many, used, "right")
+            blobs: list[list[bytes]] = [[], [], [], []]
+            for i, j, i2, j2 in zip(lo, hi, lo2, hi2, strict=True):
+                f, e = _grouped(own[i:j])
+                blobs[0].append(names[own[i:j][f]].tobytes())
+                blobs[1].append((e - f).astype("<u4").tobytes())
+                blobs[2].append(_five(one[i:j]))
+                blobs[3].append(_five(many[i2:j2]))
+            m = len(used)
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, none, none, none, pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=_TOLD)
+
+    return run
+
+
+_TOLD = ["kind", "doc_id", "n", "node", "sampled", "local", "bucket", "nodes", "counts", "hashes", "marked"]
+_TOLD_TYPES = "kind int, doc_id long, n long, node long, sampled long, local long, bucket int, nodes binary, counts binary, hashes binary, marked binary"
+
+
+def _shared_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the entries of a bucket: how many shingles of each set another set has too. Two shingles that agree in
+    bucket and five bytes count as one, which can only keep a set that might have left."""
+    node, h, marked = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for b in batches:
+        for nodes, counts, hashes, more in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            node.append(np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(counts, "<u4")))
+            h.append(_from_five(hashes))
+            marked.append(_from_five(more))
+    node, h, marked = np.concatenate(node), np.concatenate(h), np.unique(np.concatenate(marked))
+    order = np.argsort(h, kind="stable")
+    node, h = node[order], h[order]
+    first, end = _grouped(h)
+    if not len(first):
+        return
+    shared = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
+    if len(marked):
+        shared |= marked[np.minimum(np.searchsorted(marked, h[first]), len(marked) - 1)] == h[first]
+    pick = np.repeat(shared, end - first)
+    node, h = node[pick], h[pick]
+    order = np.lexsort((h, node))
+    node, h = node[order], h[order]
+    fresh = np.r_[True, (node[1:] != node[:-1]) | (h[1:] != h[:-1])][: len(node)]
+    node, k = np.unique(node[fresh], return_counts=True)
+    for i in range(0, len(node), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(k[i : i + (1 << 16)].astype(np.int64))], names=["node", "k"])
+
+
+def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that share a doc_id, those whose text has the set in question."""
+    for b in batches:
+        node = b.column(0).to_pylist()
+        yield b.filter(pa.array([node_of(s) == v for v, (_, s) in zip(node, _sets(b.column(1)), strict=True)], pa.bool_()))
+
+
+_COUNT = np.dtype([("h", "<u8"), ("df", "<u4")])
+#: Counts of frequent shingles start here; their order is the hint's.
+_HEAVY = 1 << 31
+
+
+def _spread(by_count: np.ndarray, buckets: int):
+    """Every shingle of every set, by bucket: (bucket, nodes, counts, hashes); frequent ones stay with their set, as counts."""
+    rank = np.argsort(by_count)
+    often = by_count[rank]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _portions(batches, 1):
+            node = b.column(0).to_pylist()
+            sets = [s for _, s in _sets(b.column(1))]
+            h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            own = np.repeat(np.arange(len(node)), [len(s) for s in sets])
+            heavy = np.zeros(len(h), bool)
+            if len(often):
+                near = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                heavy = often[near] == h
+            at = (mix64(h) % np.uint64(buckets)).astype(np.int32)
+            at[heavy] = own[heavy] % buckets
+            names = np.array(node, np.int64)
+            rows = [[], [], [], [], []]
+            for kind in (0, 1):
+                pick = np.flatnonzero(heavy == bool(kind))
+                pick = pick[np.lexsort((own[pick], at[pick]))]
+                for i, j in zip(*_grouped(at[pick]), strict=True):
+                    part = pick[i:j]
+                    f, e = _grouped(own[part])
+                    if kind:
+                        body = np.empty(len(part), _COUNT)
+                        body["h"], body["df"] = h[part], _HEAVY + rank[near[part]]
+                    else:
+                        body = h[part]
+                    for x, y in zip(rows, (kind, int(at[part[0]]), names[own[part][f]].tobytes(), (e - f).astype("<u4").tobytes(), body.tobytes()), strict=True):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "nodes", "counts", "body"])
 
     return run
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the entries of a bucket: for each set its shingles that other sets have too, with the number of sets."""
+    node, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+    def batch(node: np.ndarray, body: np.ndarray):
+        first, end = _grouped(node)
+        return pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array([body[i:j].tobytes() for i, j in zip(first, end, strict=True)], pa.binary())], names=["node", "body"])
+
+    for b in batches:
+        for kind, nodes, counts, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            own = np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(counts, "<u4"))
+            if kind:
+                yield batch(own, np.frombuffer(body, _COUNT))
+            else:
+                node.append(own)
+                h.append(np.frombuffer(body, "<u8"))
+    node, h = np.concatenate(node), np.concatenate(h)
+    order = np.lexsort((node, h))
+    node, h = node[order], h[order]
+    fresh = np.r_[True, (node[1:] != node[:-1]) | (h[1:] != h[:-1])][: len(node)]  # repeated rows of one set
+    node, h = node[fresh], h[fresh]
+    first, end = _grouped(h)
+    df = np.repeat(end - first, end - first)
+    node, h, df = node[df > 1], h[df > 1], df[df > 1]
+    order = np.argsort(node, kind="stable")
+    body = np.empty(len(node), _COUNT)
+    body["h"], body["df"] = h[order], df[order]
+    node = node[order]
+    step = 1 << 18
+    for i in range(0, len(node), step):
+        yield batch(node[i : i + step], body[i : i + step])
+
+
+def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix of every set (node, n, bodies) that can still link: its rarest shingles that other sets have."""
+    for b in batches:
+        rows = [[], [], []]
+        for node, n, bodies in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            known = np.unique(np.frombuffer(b"".join(bodies), _COUNT))
+            size = len(known) - (n - allowed(n)) + 1  # the prefix without the shingles that are alone
+            if size > 0:
+                known = known[np.lexsort((known["h"], known["df"]))][:size]
+                for x, y in zip(rows, (node, n, np.ascontiguousarray(known["h"]).tobytes()), strict=True):
+                    x.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "prefix"])
+
+
 _POSTING = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4")])
 
 
@@ -300,29 +483,22 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(found) > 10_000:
                     yield batch(found)
                     found = []
-            # of rows that share a doc_id, only the one with this set counts
-            if node not in nodes[-1:] and node_of(s) == node:
+            if node not in nodes[-1:]:  # repeated rows
                 nodes.append(node)
                 sets.append(s)
     found += links()
     yield batch(found)
 
 
-def search(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) among candidate pairs (a, b), found in blocks around each a."""
-    spark = pairs.sparkSession
-    n = parts(spark)
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    stand = nodes.join(need, "node").select("node", "doc_id")
-    # texts are a third of the size of their sets, so they travel and the sets are made again
-    texts = saved(stand.join(docs.select("doc_id", "text"), "doc_id").select("node", "text"), "texts")
+def search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b) of texts (node, text), found in blocks around each a."""
+    n = parts(pairs.sparkSession)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("node"), F.lit(1).alias("later"))
     centre = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"), F.lit(0).alias("later"))
     rows = member.union(centre).join(texts, "node").repartition(n, "a", "block").sortWithinPartitions("a", "block", "later", "node")
-    links = saved(rows.select("a", "block", "node", "text").mapInArrow(_searched, "a long, b long"), "links")
-    dropped(texts)
-    return links
+    # texts are smaller than their sets in a shuffle, so they travel and the sets are made again
+    return saved(rows.select("a", "block", "node", "text").mapInArrow(_searched, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -345,21 +521,32 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    often = frequent(docs)
-    sets = saved(docs.mapInArrow(_prefixed(often), "doc_id long, n long, node long, prefix binary"), "prefixes")
     buckets = parts(spark)
-    dealt = sets.filter("prefix is not null and doc_id is not null").select("node", "n", "prefix").mapInArrow(_dealt(often, buckets), "bucket int, rows binary")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    told = saved(docs.mapInArrow(_told(buckets), _TOLD_TYPES), "told")
+    sets = saved(told.filter("kind = 0").select("doc_id", "n", "node", "sampled", "local"), "sets")
+    elsewhere = told.filter("kind = 1").repartitionById(buckets, F.col("bucket")).select("nodes", "counts", "hashes", "marked").mapInArrow(_shared_in, "node long, k long")
+    elsewhere = saved(elsewhere.groupBy("node").agg(F.sum("k").alias("k")), "shared")
+    dropped(told)
+    nodes = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sampled").alias("sampled"), F.min("local").alias("local"))
+    alone = F.col("sampled") - F.col("local") - F.coalesce("k", F.lit(0))
+    nodes = saved(nodes.join(elsewhere, "node", "left").filter(alone <= F.floor(F.col("n") * (100 - PERCENT) / 100)).select("node", "doc_id", "n"), "nodes")
+    texts = saved(docs.join(nodes.select("node", "doc_id"), "doc_id").select("node", "text").mapInArrow(_right, "node long, text string"), "texts")
+    dropped(elsewhere)
+    often = frequent(texts)
+    spread = texts.mapInArrow(_spread(often, buckets), "kind int, bucket int, nodes binary, counts binary, body binary")
+    counted = spread.repartitionById(buckets, F.col("bucket")).select("kind", "nodes", "counts", "body").mapInArrow(_frequencies, "node long, body binary")
+    counted = counted.groupBy("node").agg(F.collect_list("body").alias("bodies"))
+    prefixes = saved(nodes.select("node", "n").join(counted, "node").mapInArrow(_prefixed, "node long, n long, prefix binary"), "prefixes")
+    dealt = prefixes.mapInArrow(_dealt(often, buckets), "bucket int, rows binary")
     lists = saved(dealt.repartitionById(buckets, F.col("bucket")).select("rows").mapInArrow(_listed(often), "kind int, a long, b long, n long"), "lists")
-    prefixes, sets = sets, saved(sets.drop("prefix"), "nodes")
     dropped(prefixes)
-    nodes = saved(sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
 
     split = lists.filter("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"), "n")
     top = split.groupBy("h").agg(F.min(F.struct("node", "n")).alias("c"))
     tied = split.join(top, "h").filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
     pairs = saved(lists.filter("kind = 0").select("a", "b").union(tied).distinct(), "pairs")
-    links = search(pairs, docs, nodes)
+    links = search(pairs, texts)
     root = components(links)
 
     open_ = lists.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"), "n").distinct()
@@ -384,7 +571,7 @@ def classes(docs: DataFrame) -> DataFrame:
         new = new.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = saved(new.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = search(new, docs, nodes)
+        found = search(new, texts)
         if not found.isEmpty():
             links = saved(links.union(found), "links")
             root = components(links)
@@ -396,5 +583,5 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(first, "root", "left")
-    dropped(lists)
+    dropped(lists, texts)
     return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
