@@ -205,8 +205,11 @@ def _told(buckets: int):
             blobs: list[list[bytes]] = [[], [], [], []]
             for i, j, i2, j2 in zip(lo, hi, lo2, hi2, strict=True):
                 f, e = _grouped(own[i:j])
-                blobs[0].append(names[own[i:j][f]].tobytes())
-                blobs[1].append((e - f).astype("<u4").tobytes())
+                pieces = -(-(e - f) // 255)
+                size = np.full(int(pieces.sum()), 255)
+                size[np.cumsum(pieces) - 1] = (e - f) - 255 * (pieces - 1)
+                blobs[0].append(np.repeat(names[own[i:j][f]], pieces).tobytes())
+                blobs[1].append(size.astype("u1").tobytes())
                 blobs[2].append(_five(one[i:j]))
                 blobs[3].append(_five(many[i2:j2]))
             m = len(used)
@@ -220,13 +223,37 @@ _TOLD = ["kind", "doc_id", "n", "node", "sampled", "local", "bucket", "nodes", "
 _TOLD_TYPES = "kind int, doc_id long, n long, node long, sampled long, local long, bucket int, nodes binary, counts binary, hashes binary, marked binary"
 
 
-def _shared_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the entries of a bucket: how many shingles of each set another set has too. Two shingles that agree in
-    bucket and five bytes count as one, which can only keep a set that might have left."""
+def _shared_in(buckets: int):
+    """From the entries of a bucket: how many shingles of each set another set has too, packed by the bucket of the
+    set. Two shingles that agree in bucket and five bytes count as one, which can only keep a set that might have left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, k = _shared(batches)
+        target = (mix64(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        node, k, target = node[order], k[order], target[order]
+        first, end = _grouped(target)
+        yield pa.RecordBatch.from_arrays([pa.array(target[first]), pa.array([node[i:j].tobytes() for i, j in zip(first, end, strict=True)], pa.binary()), pa.array([k[i:j].astype("<u4").tobytes() for i, j in zip(first, end, strict=True)], pa.binary())], names=["bucket", "nodes", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    node, k = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for b in batches:
+        node += [np.frombuffer(x, "<i8") for x in b.column(0).to_pylist()]
+        k += [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
+    node, at = np.unique(np.concatenate(node), return_inverse=True)
+    k = np.bincount(at, weights=np.concatenate(k), minlength=len(node)).astype(np.int64)
+    for i in range(0, len(node), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(k[i : i + (1 << 16)])], names=["node", "k"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     node, h, marked = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for b in batches:
         for nodes, counts, hashes, more in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            node.append(np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(counts, "<u4")))
+            node.append(np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(counts, "u1")))
             h.append(_from_five(hashes))
             marked.append(_from_five(more))
     node, h, marked = np.concatenate(node), np.concatenate(h), np.unique(np.concatenate(marked))
@@ -234,7 +261,7 @@ def _shared_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     node, h = node[order], h[order]
     first, end = _grouped(h)
     if not len(first):
-        return
+        return node, first
     shared = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
     if len(marked):
         shared |= marked[np.minimum(np.searchsorted(marked, h[first]), len(marked) - 1)] == h[first]
@@ -243,9 +270,7 @@ def _shared_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((h, node))
     node, h = node[order], h[order]
     fresh = np.r_[True, (node[1:] != node[:-1]) | (h[1:] != h[:-1])][: len(node)]
-    node, k = np.unique(node[fresh], return_counts=True)
-    for i in range(0, len(node), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(k[i : i + (1 << 16)].astype(np.int64))], names=["node", "k"])
+    return np.unique(node[fresh], return_counts=True)
 
 
 def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,95 +281,123 @@ def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _COUNT = np.dtype([("h", "<u8"), ("df", "<u4")])
+_ENTRY = np.dtype([("h", "<u8"), ("rest", "<u4")])
 #: Counts of frequent shingles start here; their order is the hint's.
 _HEAVY = 1 << 31
 
 
+_PACKED = ["bucket", "heavy", "nodes", "sizes", "counts", "body"]
+_PACKED_TYPES = "bucket int, heavy boolean, nodes binary, sizes binary, counts binary, body binary"
+
+
+def _packed(at: np.ndarray, heavy: bool, node: np.ndarray, n: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket in `at`: its entries by set, with the sizes of the sets."""
+    order = np.lexsort((node, at))
+    at, node, n, body = at[order], node[order], n[order], body[order]
+    rows = [[], [], [], [], [], []]
+    for i, j in zip(*_grouped(at), strict=True):
+        f, e = _grouped(node[i:j])
+        for x, y in zip(rows, (int(at[i]), heavy, node[i:j][f].tobytes(), n[i:j][f].astype("<u4").tobytes(), (e - f).astype("<u4").tobytes(), body[i:j].tobytes()), strict=True):
+            x.append(y)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=_PACKED)
+
+
+def _unpacked(nodes: bytes, sizes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    times = np.frombuffer(counts, "<u4")
+    return np.repeat(np.frombuffer(nodes, "<i8"), times), np.repeat(np.frombuffer(sizes, "<u4"), times)
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(np.ascontiguousarray(x).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
 def _spread(by_count: np.ndarray, buckets: int):
-    """Every shingle of every set, by bucket: (bucket, nodes, counts, hashes); frequent ones stay with their set, as counts."""
+    """Every shingle of every set, by its bucket; the frequent ones go by the bucket of their set, with the hint's order as count."""
     rank = np.argsort(by_count)
     often = by_count[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _portions(batches, 1):
-            node = b.column(0).to_pylist()
             sets = [s for _, s in _sets(b.column(1))]
+            sizes = np.array([len(s) for s in sets], np.int64)
             h = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            own = np.repeat(np.arange(len(node)), [len(s) for s in sets])
+            node, n = np.repeat(np.array(b.column(0).to_pylist(), np.int64), sizes), np.repeat(sizes, sizes)
             heavy = np.zeros(len(h), bool)
             if len(often):
                 near = np.minimum(np.searchsorted(often, h), len(often) - 1)
                 heavy = often[near] == h
-            at = (mix64(h) % np.uint64(buckets)).astype(np.int32)
-            at[heavy] = own[heavy] % buckets
-            names = np.array(node, np.int64)
-            rows = [[], [], [], [], []]
-            for kind in (0, 1):
-                pick = np.flatnonzero(heavy == bool(kind))
-                pick = pick[np.lexsort((own[pick], at[pick]))]
-                for i, j in zip(*_grouped(at[pick]), strict=True):
-                    part = pick[i:j]
-                    f, e = _grouped(own[part])
-                    if kind:
-                        body = np.empty(len(part), _COUNT)
-                        body["h"], body["df"] = h[part], _HEAVY + rank[near[part]]
-                    else:
-                        body = h[part]
-                    for x, y in zip(rows, (kind, int(at[part[0]]), names[own[part][f]].tobytes(), (e - f).astype("<u4").tobytes(), body.tobytes()), strict=True):
-                        x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "nodes", "counts", "body"])
+                body = np.empty(int(heavy.sum()), _COUNT)
+                body["h"], body["df"] = h[heavy], _HEAVY + rank[near[heavy]]
+                yield _packed(_bucket(node[heavy], buckets), True, node[heavy], n[heavy], body)
+            yield _packed(_bucket(h[~heavy], buckets), False, node[~heavy], n[~heavy], h[~heavy])
 
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the entries of a bucket: for each set its shingles that other sets have too, with the number of sets."""
-    node, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-
-    def batch(node: np.ndarray, body: np.ndarray):
-        first, end = _grouped(node)
-        return pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array([body[i:j].tobytes() for i, j in zip(first, end, strict=True)], pa.binary())], names=["node", "body"])
+def _frequencies(buckets: int):
+    """From the entries of a bucket: for each set its shingles that other sets have too, with the number of sets, by the bucket of the set."""
 
-    for b in batches:
-        for kind, nodes, counts, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            own = np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(counts, "<u4"))
-            if kind:
-                yield batch(own, np.frombuffer(body, _COUNT))
-            else:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, n, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
+        for b in batches:
+            for i, heavy in enumerate(b.column(1).to_pylist()):
+                if heavy:  # it is in its set's bucket already
+                    yield b.slice(i, 1)
+                    continue
+                own, size = _unpacked(*(b.column(k)[i].as_py() for k in (2, 3, 4)))
                 node.append(own)
-                h.append(np.frombuffer(body, "<u8"))
-    node, h = np.concatenate(node), np.concatenate(h)
-    order = np.lexsort((node, h))
-    node, h = node[order], h[order]
-    fresh = np.r_[True, (node[1:] != node[:-1]) | (h[1:] != h[:-1])][: len(node)]  # repeated rows of one set
-    node, h = node[fresh], h[fresh]
-    first, end = _grouped(h)
-    df = np.repeat(end - first, end - first)
-    node, h, df = node[df > 1], h[df > 1], df[df > 1]
-    order = np.argsort(node, kind="stable")
-    body = np.empty(len(node), _COUNT)
-    body["h"], body["df"] = h[order], df[order]
-    node = node[order]
-    step = 1 << 18
-    for i in range(0, len(node), step):
-        yield batch(node[i : i + step], body[i : i + step])
+                n.append(size)
+                h.append(np.frombuffer(b.column(5)[i].as_py(), "<u8"))
+        node, n, h = np.concatenate(node), np.concatenate(n), np.concatenate(h)
+        order = np.lexsort((node, h))
+        node, n, h = node[order], n[order], h[order]
+        fresh = np.r_[True, (node[1:] != node[:-1]) | (h[1:] != h[:-1])][: len(node)]  # repeated rows of one set
+        node, n, h = node[fresh], n[fresh], h[fresh]
+        first, end = _grouped(h)
+        df = np.repeat(end - first, end - first)
+        pick = df > 1
+        body = np.empty(int(pick.sum()), _COUNT)
+        body["h"], body["df"] = h[pick], df[pick]
+        yield _packed(_bucket(node[pick], buckets), False, node[pick], n[pick], body)
+
+    return run
 
 
 def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix of every set (node, n, bodies) that can still link: its rarest shingles that other sets have."""
+    """The prefix of every set (node, n) that can still link: its rarest shingles that other sets have, each with the
+    number of those from there on, which bounds the overlap of two sets that first meet in it."""
+    node, n, body = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, _COUNT)]
     for b in batches:
-        rows = [[], [], []]
-        for node, n, bodies in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            known = np.unique(np.frombuffer(b"".join(bodies), _COUNT))
-            size = len(known) - (n - allowed(n)) + 1  # the prefix without the shingles that are alone
-            if size > 0:
-                known = known[np.lexsort((known["h"], known["df"]))][:size]
-                for x, y in zip(rows, (node, n, np.ascontiguousarray(known["h"]).tobytes()), strict=True):
-                    x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "prefix"])
-
-
-_POSTING = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4")])
+        for nodes, sizes, counts, part in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            own, size = _unpacked(nodes, sizes, counts)
+            node.append(own)
+            n.append(size)
+            body.append(np.frombuffer(part, _COUNT))
+    node, n, body = np.concatenate(node), np.concatenate(n), np.concatenate(body)
+    order = np.lexsort((body["h"], body["df"], node))
+    node, n, body = node[order], n[order], body[order]
+    fresh = np.r_[True, (node[1:] != node[:-1]) | (body["h"][1:] != body["h"][:-1])][: len(node)]
+    node, n, body = node[fresh], n[fresh], body[fresh]
+    rows = [[], [], []]
+    for i, j in zip(*_grouped(node), strict=True):
+        size = int(n[i])
+        length = (j - i) - (size - allowed(size)) + 1  # the prefix without the shingles that are alone
+        if length > 0:
+            entries = np.empty(length, _ENTRY)
+            entries["h"], entries["rest"] = body["h"][i : i + length], np.arange(j - i, j - i - length, -1)
+            for x, y in zip(rows, (int(node[i]), size, entries.tobytes()), strict=True):
+                x.append(y)
+        if len(rows[0]) >= 4096:
+            yield _prefix_batch(rows)
+            rows = [[], [], []]
+    yield _prefix_batch(rows)
+
+
+def _prefix_batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "prefix"])
+
+
+_POSTING = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("rest", "<u4")])
 
 
 def _dealt(by_count: np.ndarray, buckets: int):
@@ -354,9 +407,10 @@ def _dealt(by_count: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(2).to_pylist()
-            sizes = np.array([len(x) // 8 for x in raw])
+            sizes = np.array([len(x) // _ENTRY.itemsize for x in raw], np.int64)
             rows = np.empty(int(sizes.sum()), _POSTING)
-            rows["h"] = np.frombuffer(b"".join(raw), "<u8")
+            entries = np.frombuffer(b"".join(raw), _ENTRY)
+            rows["h"], rows["rest"] = entries["h"], entries["rest"]
             rows["node"] = np.repeat(np.asarray(b.column(0), np.int64), sizes)
             rows["n"] = np.repeat(np.asarray(b.column(1), np.int64), sizes)
             key = rows["h"].copy()
@@ -383,30 +437,35 @@ def _listed(by_count: np.ndarray):
             return
         rows = np.frombuffer(b"".join(raw), _POSTING)
         raw.clear()
-        rows = rows[np.lexsort((rows["node"], rows["h"]))]
-        keep = np.r_[True, (rows["h"][1:] != rows["h"][:-1]) | (rows["node"][1:] != rows["node"][:-1])]
-        rows = rows[keep]
+        # the centre is the set of a list with the least share of shingles before this one, as it is likely to link most
+        ahead = ((rows["n"].astype(np.int64) - rows["rest"]) << 20) // np.maximum(rows["n"], 1)
+        rows = rows[np.lexsort((rows["node"], ahead, rows["h"]))]
         first = np.flatnonzero(np.r_[True, rows["h"][1:] != rows["h"][:-1]])
         sizes = np.diff(np.r_[first, len(rows)])
         heavy = often[np.minimum(np.searchsorted(often, rows["h"][first]), len(often) - 1)] == rows["h"][first] if len(often) else np.zeros(len(first), bool)
         keep = heavy | (sizes > 1)
-        pick = np.repeat(keep, sizes)
-        rows, sizes, heavy = rows[pick], sizes[keep], heavy[keep]
+        rows, sizes, heavy = rows[np.repeat(keep, sizes)], sizes[keep], heavy[keep]
         first = np.cumsum(sizes) - sizes
         centre = np.repeat(first, sizes)
-        size, own = rows["n"].astype(np.int64), rows["n"][centre].astype(np.int64)
-        near = (100 * np.minimum(size, own) >= PERCENT * np.maximum(size, own)) & (centre != np.arange(len(rows)))
+        n, rest = rows["n"].astype(np.int64), rows["rest"].astype(np.int64)
+        near = (_least(n, n[centre]) <= np.minimum(rest, rest[centre])) & (centre != np.arange(len(rows)))
         pairs = np.unique(np.stack([rows["node"][centre][near], rows["node"][near]], axis=1), axis=0)
-        more = np.repeat(heavy | (sizes > 2), sizes)
-        top = first[heavy]
-        for kind, a, b, n in ((0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)), (1, np.ascontiguousarray(rows["h"][more]).view(np.int64), rows["node"][more], rows["n"][more].astype(np.int64)), (2, np.ascontiguousarray(rows["h"][top]).view(np.int64), rows["node"][top], rows["n"][top].astype(np.int64))):
-            for i in range(0, len(a), 1 << 16):
-                j = min(i + (1 << 16), len(a))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, kind, np.int32)), *(pa.array(np.ascontiguousarray(x[i:j])) for x in (a, b, n))], names=["kind", "a", "b", "n"])
+        none = np.zeros(len(pairs), np.int64)
+        more, top = np.repeat(heavy | (sizes > 2), sizes), first[heavy]
+        h = rows["h"].view(np.int64) if rows["h"].flags.c_contiguous else np.ascontiguousarray(rows["h"]).view(np.int64)
+        for kind, columns in ((0, (pairs[:, 0], pairs[:, 1], none, none)), (1, (h[more], rows["node"][more], n[more], rest[more])), (2, (h[top], rows["node"][top], n[top], rest[top]))):
+            for i in range(0, len(columns[0]), 1 << 16):
+                part = [pa.array(np.ascontiguousarray(x[i : i + (1 << 16)])) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=["kind", "a", "b", "n", "rest"])
 
     return run
 
 
+def _least(n, m):
+    """The least overlap of linked sets of n and m shingles."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
 class Index:
     """Inverted lists over a block of sets."""
 
@@ -525,31 +584,33 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     told = saved(docs.mapInArrow(_told(buckets), _TOLD_TYPES), "told")
     sets = saved(told.filter("kind = 0").select("doc_id", "n", "node", "sampled", "local"), "sets")
-    elsewhere = told.filter("kind = 1").repartitionById(buckets, F.col("bucket")).select("nodes", "counts", "hashes", "marked").mapInArrow(_shared_in, "node long, k long")
-    elsewhere = saved(elsewhere.groupBy("node").agg(F.sum("k").alias("k")), "shared")
+    packed = told.filter("kind = 1").repartitionById(buckets, F.col("bucket")).select("nodes", "counts", "hashes", "marked").mapInArrow(_shared_in(buckets), "bucket int, nodes binary, counts binary")
+    elsewhere = saved(packed.repartitionById(buckets, F.col("bucket")).select("nodes", "counts").mapInArrow(_summed, "node long, k long"), "shared")
     dropped(told)
     nodes = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sampled").alias("sampled"), F.min("local").alias("local"))
     alone = F.col("sampled") - F.col("local") - F.coalesce("k", F.lit(0))
-    nodes = saved(nodes.join(elsewhere, "node", "left").filter(alone <= F.floor(F.col("n") * (100 - PERCENT) / 100)).select("node", "doc_id", "n"), "nodes")
-    texts = saved(docs.join(nodes.select("node", "doc_id"), "doc_id").select("node", "text").mapInArrow(_right, "node long, text string"), "texts")
+    nodes = saved(nodes.join(elsewhere, "node", "left").filter(alone <= F.floor(F.col("n") * (100 - PERCENT) / 100)).select("node", "doc_id"), "nodes")
+    # the sets left grow with the corpus: no broadcast
+    texts = saved(docs.join(nodes.hint("merge"), "doc_id").select("node", "text").mapInArrow(_right, "node long, text string"), "texts")
     dropped(elsewhere)
     often = frequent(texts)
-    spread = texts.mapInArrow(_spread(often, buckets), "kind int, bucket int, nodes binary, counts binary, body binary")
-    counted = spread.repartitionById(buckets, F.col("bucket")).select("kind", "nodes", "counts", "body").mapInArrow(_frequencies, "node long, body binary")
-    counted = counted.groupBy("node").agg(F.collect_list("body").alias("bodies"))
-    prefixes = saved(nodes.select("node", "n").join(counted, "node").mapInArrow(_prefixed, "node long, n long, prefix binary"), "prefixes")
+    body = ["nodes", "sizes", "counts", "body"]
+    spread = texts.mapInArrow(_spread(often, buckets), _PACKED_TYPES).repartitionById(buckets, F.col("bucket"))
+    counted = spread.mapInArrow(_frequencies(buckets), _PACKED_TYPES).repartitionById(buckets, F.col("bucket"))
+    prefixes = saved(counted.select(*body).mapInArrow(_prefixed, "node long, n long, prefix binary"), "prefixes")
     dealt = prefixes.mapInArrow(_dealt(often, buckets), "bucket int, rows binary")
-    lists = saved(dealt.repartitionById(buckets, F.col("bucket")).select("rows").mapInArrow(_listed(often), "kind int, a long, b long, n long"), "lists")
+    lists = saved(dealt.repartitionById(buckets, F.col("bucket")).select("rows").mapInArrow(_listed(often), "kind int, a long, b long, n long, rest long"), "lists")
     dropped(prefixes)
 
-    split = lists.filter("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"), "n")
-    top = split.groupBy("h").agg(F.min(F.struct("node", "n")).alias("c"))
-    tied = split.join(top, "h").filter(f"node <> c.node and 100 * least(n, c.n) >= {PERCENT} * greatest(n, c.n)").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    fits = f"{100 + PERCENT} * least(x.rest, y.rest) >= {PERCENT} * (x.n + y.n)"
+    split = lists.filter("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("node"), "n", "rest")
+    top = split.groupBy("h").agg(F.min_by(F.struct("node", "n", "rest"), F.struct(F.col("n") - F.col("rest"), "node")).alias("y")).select("h", "y.*")
+    tied = split.alias("x").join(top.alias("y"), F.expr(f"x.h = y.h and x.node <> y.node and {fits}")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
     pairs = saved(lists.filter("kind = 0").select("a", "b").union(tied).distinct(), "pairs")
     links = search(pairs, texts)
     root = components(links)
 
-    open_ = lists.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"), "n").distinct()
+    open_ = lists.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"), "n", "rest").distinct()
     total, before = nodes.count(), math.inf
     for turn in range(ROUNDS + 1):
         own = open_.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -560,14 +621,13 @@ def classes(docs: DataFrame) -> DataFrame:
         if not wide:
             dropped(own)
             break
-        fits = f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and x.root <> y.root"
         last = wide <= OPEN * total or turn == ROUNDS or wide > (1 - SETTLED) * before
         before = wide
         if last:
-            new = own.alias("x").join(own.alias("y"), F.expr(f"x.h = y.h and x.node < y.node and {fits}"))
+            new = own.alias("x").join(own.alias("y"), F.expr(f"x.h = y.h and x.node < y.node and x.root <> y.root and {fits}"))
         else:
-            centre = own.groupBy("h").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("y")).select("h", "y.*")
-            new = own.alias("x").join(centre.alias("y"), F.expr(f"x.h = y.h and {fits}"))
+            centre = own.groupBy("h").agg(F.min_by(F.struct("node", "n", "rest", "root"), F.xxhash64("node", F.lit(turn))).alias("y")).select("h", "y.*")
+            new = own.alias("x").join(centre.alias("y"), F.expr(f"x.h = y.h and x.root <> y.root and {fits}"))
         new = new.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = saved(new.join(done, ["a", "b"], "left_anti"), "pairs")
