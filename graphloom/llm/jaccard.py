@@ -12,9 +12,11 @@ A document's set holds its distinct five-word shingles, as 64-bit hashes; equal
    frequent shingles are split by salt, and the parts' centres tied in turn.
 4. A centre and a block of its candidates form one search: an inverted index over the block, the short lists merged
    on a heap, the long ones probed by bisection (DivideSkip), and sets with the required overlap retained.
-5. Links give components. Lists whose sets lie in different components are searched again, with other centres while
-   the open pairs are many, then pair by pair, until no pair of a list that could link two components is left. Pairs
-   inside a component need no search, which keeps large groups of near copies from growing with their squares.
+5. Links give components. In lists whose sets lie in different components, pairs across components are held against
+   two bounds: what is left of both sets from that shingle on, and the bits in which their parity bitmaps differ, which
+   are never more than the shingles in which the sets do. Of the pairs that pass, first the nearest of each set in each
+   other component is searched, then, with the components merged, all that still lie in different ones. Pairs inside a
+   component need no search, which keeps large groups of near copies from growing with their squares.
 
 Defined results: a null or empty text has n_shingles 0 and stands alone; equal texts share a component; rows with a
 null doc_id have a null component_id and give no links. Extra columns are ignored. Hashes of 64 bits stand for
@@ -48,8 +50,8 @@ PORTION = 1 << 24
 SHARE = 0.4
 #: Candidates of a centre that are searched in one block.
 BLOCK = 256
-#: Rounds with other centres, while more open pairs than this for each set are left and rounds still settle many.
-ROUNDS, OPEN, SETTLED = 6, 32.0, 0.3
+#: Sets of a list that are compared in one block; longer lists are dealt as pairs of blocks.
+LISTED = 4096
 
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
@@ -273,11 +275,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(node[fresh], return_counts=True)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of the set's hashes falls on each bit, of two bits a shingle or more, a power of two."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").view("<u8")
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, one a row, at a smaller size."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that share a doc_id, those whose text has the set in question."""
+    """Of rows that share a doc_id, those whose text has the set in question, with its parities."""
     for b in batches:
         node = b.column(0).to_pylist()
-        yield b.filter(pa.array([node_of(s) == v for v, (_, s) in zip(node, _sets(b.column(1)), strict=True)], pa.bool_()))
+        bits = [parities(s).tobytes() if node_of(s) == v else None for v, (_, s) in zip(node, _sets(b.column(1)), strict=True)]
+        bits = pa.array(bits, pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bits], names=["node", "text", "bits"]).filter(bits.is_valid())
 
 
 _COUNT = np.dtype([("h", "<u8"), ("df", "<u4")])
@@ -555,11 +573,77 @@ def search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("node"), F.lit(1).alias("later"))
     centre = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"), F.lit(0).alias("later"))
-    rows = member.union(centre).join(texts, "node").repartition(n, "a", "block").sortWithinPartitions("a", "block", "later", "node")
+    rows = member.union(centre).join(texts.select("node", "text"), "node").repartition(n, "a", "block").sortWithinPartitions("a", "block", "later", "node")
     # texts are smaller than their sets in a shuffle, so they travel and the sets are made again
     return saved(rows.select("a", "block", "node", "text").mapInArrow(_searched, "a long, b long"), "links")
 
 
+def _across(node: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, ask: np.ndarray, answer: np.ndarray, bits: list[np.ndarray], best: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of entries ask x answer of a list that lie in different components and that the bounds let pass; with best,
+    only the nearest of each set in each other component."""
+    words = np.array([len(x) for x in bits])
+    place = np.zeros(len(node), np.int64)
+    tables = {}
+    for w in np.unique(words):
+        own = np.flatnonzero(words == w)
+        place[own] = np.arange(len(own))
+        tables[w] = np.stack([bits[i] for i in own])
+    for x in ask:
+        with_ = answer[(root[answer] != root[x]) & (_least(n[answer], n[x]) <= np.minimum(rest[answer], rest[x]))]
+        for w in np.unique(words[with_]):
+            near = with_[words[with_] == w]
+            least = min(int(w), int(words[x]))
+            apart = np.bitwise_count(folded(tables[w][place[near]], least) ^ folded(bits[x], least)).sum(axis=1, dtype=np.int64)
+            ok = apart <= n[near] + n[x] - 2 * _least(n[near], n[x])
+            near, apart = near[ok], apart[ok]
+            if best and len(near):
+                order = np.lexsort((node[near], apart, root[near]))
+                near = near[order][_grouped(root[near][order])[0]]
+            for y in near.tolist():
+                yield (int(node[x]), int(node[y])) if node[x] < node[y] else (int(node[y]), int(node[x]))
+
+
+def _compared(best: bool):
+    """Rows come sorted by list and pair of blocks; emits the pairs that are to be searched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, seen = None, [], set()
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.int64()), pa.array([x[1] for x in seen], pa.int64())], names=["a", "b"])
+
+        def pairs():
+            node, n, rest, root, side = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+            ask, answer = (np.flatnonzero(side == i) for i in key[1:])
+            return _across(node, n, rest, root, ask, answer, [np.frombuffer(r[5], "<u8") for r in rows], best)
+
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(9)]
+            for h, lo, hi, *row in zip(*columns, strict=True):
+                if (h, lo, hi) != key:
+                    if rows:
+                        seen.update(pairs())
+                    if len(seen) > 100_000:
+                        yield batch()
+                        seen = set()
+                    key, rows = (h, lo, hi), []
+                rows.append(row)
+        if rows:
+            seen.update(pairs())
+        yield batch()
+
+    return run
+
+
+def across(own: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) to search, of list entries own (h, node, n, rest, root, m, bits), m the length of the list."""
+    blocks = F.ceil(F.col("m") / LISTED).cast("int")
+    side = own.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = side.select("h", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "node", "n", "rest", "root", "side", "bits")
+    dealt = dealt.repartition(parts(own.sparkSession), "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    return dealt.mapInArrow(_compared(best), "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links reach, for every node with a link. Large-star and small-star in turn."""
     edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -591,11 +675,11 @@ def classes(docs: DataFrame) -> DataFrame:
     alone = F.col("sampled") - F.col("local") - F.coalesce("k", F.lit(0))
     nodes = saved(nodes.join(elsewhere, "node", "left").filter(alone <= F.floor(F.col("n") * (100 - PERCENT) / 100)).select("node", "doc_id"), "nodes")
     # the sets left grow with the corpus: no broadcast
-    texts = saved(docs.join(nodes.hint("merge"), "doc_id").select("node", "text").mapInArrow(_right, "node long, text string"), "texts")
+    texts = saved(docs.join(nodes.hint("merge"), "doc_id").select("node", "text").mapInArrow(_right, "node long, text string, bits binary"), "texts")
     dropped(elsewhere)
-    often = frequent(texts)
+    often = frequent(texts.select("text"))
     body = ["nodes", "sizes", "counts", "body"]
-    spread = texts.mapInArrow(_spread(often, buckets), _PACKED_TYPES).repartitionById(buckets, F.col("bucket"))
+    spread = texts.select("node", "text").mapInArrow(_spread(often, buckets), _PACKED_TYPES).repartitionById(buckets, F.col("bucket"))
     counted = spread.mapInArrow(_frequencies(buckets), _PACKED_TYPES).repartitionById(buckets, F.col("bucket"))
     prefixes = saved(counted.select(*body).mapInArrow(_prefixed, "node long, n long, prefix binary"), "prefixes")
     dealt = prefixes.mapInArrow(_dealt(often, buckets), "bucket int, rows binary")
@@ -611,33 +695,17 @@ def classes(docs: DataFrame) -> DataFrame:
     root = components(links)
 
     open_ = lists.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"), "n", "rest").distinct()
-    total, before = nodes.count(), math.inf
-    for turn in range(ROUNDS + 1):
+    for best in (True, False):
         own = open_.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-        own = saved(own.join(mixed.select("h", "m"), "h"), "open")
-        groups = own.groupBy("h", "root").agg(F.count("*").alias("k"), F.first("m").alias("m"))
-        wide = groups.agg(F.sum(F.col("k") * (F.col("m") - F.col("k"))) / 2).first()[0]
-        if not wide:
-            dropped(own)
-            break
-        last = wide <= OPEN * total or turn == ROUNDS or wide > (1 - SETTLED) * before
-        before = wide
-        if last:
-            new = own.alias("x").join(own.alias("y"), F.expr(f"x.h = y.h and x.node < y.node and x.root <> y.root and {fits}"))
-        else:
-            centre = own.groupBy("h").agg(F.min_by(F.struct("node", "n", "rest", "root"), F.xxhash64("node", F.lit(turn))).alias("y")).select("h", "y.*")
-            new = own.alias("x").join(centre.alias("y"), F.expr(f"x.h = y.h and x.root <> y.root and {fits}"))
-        new = new.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        mixed = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("h", "m")
+        own = own.join(mixed, "h").join(texts.select("node", "bits"), "node")
+        new = across(own, best)
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = saved(new.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = search(new, texts)
-        if not found.isEmpty():
-            links = saved(links.union(found), "links")
-            root = components(links)
-        dropped(own)
-        if last:
-            break
+        if new.isEmpty():
+            continue  # pairs that were searched before can hide no others
+        links = saved(links.union(search(new, texts)), "links")
+        root = components(links)
         pairs = saved(pairs.union(new), "pairs")
 
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -87,7 +87,7 @@ def test_jaccard_equals_brute_force(docs, monkeypatch, hint):
     monkeypatch.setattr(jaccard, "FREQUENT", hint)
     monkeypatch.setattr(jaccard, "SEEN", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
-    monkeypatch.setattr(jaccard, "OPEN", 0.1)
+    monkeypatch.setattr(jaccard, "LISTED", 5)
     rng = random.Random(2)
     rows = []
     for _ in range(6):  # chains of near copies, where the ends are not alike
@@ -104,6 +104,34 @@ def test_jaccard_equals_brute_force(docs, monkeypatch, hint):
     assert got == brute_classes(rows)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 500)), dtype=np.uint64))
+        b = np.union1d(rng.permutation(a)[: int(rng.integers(1, len(a) + 1))], rng.integers(0, 2**63, int(rng.integers(0, 200)), dtype=np.uint64))
+        x, y = jaccard.parities(a), jaccard.parities(b)
+        words = min(len(x), len(y))
+        assert np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_large_group_and_passage_of_all(docs):
+    """One group of 3,000 near copies, some of them not alike but linked through others, and 300 texts that share their passage."""
+    rng = random.Random(24)
+    passage = [f"p{k}" for k in range(12)]
+    base = [rng.choice(WORDS) + str(k) for k in range(100)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(100)] = f"e{rng.random()}"
+        rows.append(" ".join(passage + words))
+    rows += [" ".join([*passage, *(f"u{i}.{k}" for k in range(40))]) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in jaccard.classes(docs([(i, t, None, None) for i, t in enumerate(rows)])).collect()}
+    # three edits cost 15 shingles of 108 at most, so all copies are linked with the base, which is there (no edits)
+    assert all(got[i] == 0 for i in range(3000))
+    assert all(got[i] == i for i in range(3000, 3300))
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**62, 300, dtype=np.uint64)
