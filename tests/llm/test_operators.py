@@ -122,12 +122,12 @@ def test_large_group_and_passage_of_all(docs):
     rows = []
     for i in range(3000):
         words = list(base)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, 2)):
             words[rng.randrange(100)] = f"e{rng.random()}"
         rows.append(" ".join(passage + words))
     rows += [" ".join([*passage, *(f"u{i}.{k}" for k in range(40))]) for i in range(300)]
     got = {r.doc_id: r.component_id for r in jaccard.classes(docs([(i, t, None, None) for i, t in enumerate(rows)])).collect()}
-    # three edits cost 15 shingles of 108 at most, so all copies are linked with the base, which is there (no edits)
+    # two edits change 10 of 108 shingles at most, so every copy is linked with the base, and many copies are the base
     assert all(got[i] == 0 for i in range(3000))
     assert all(got[i] == i for i in range(3000, 3300))
 
