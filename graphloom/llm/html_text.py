@@ -3,7 +3,9 @@
 A page is cut into leaf blocks (text between block-level tags). Each block is a vector: hashed tag-path tokens (tags,
 classes, ids and roles of all ancestors), hashed words, length and share of link text. A bidirectional LSTM, written
 and trained in numpy, reads all blocks of a page in both directions and marks each as main text or not. It is trained
-on pages made here and on a bounded sample of the input (SAMPLE_PAGES), labelled by what their tags and names say.
+on pages made here, whose parts are known, also where no name or tag tells them (a third of these pages has made-up
+names only, a quarter no element around the article), and on windows of WINDOW blocks of a bounded sample of the input
+(SAMPLE_PAGES), labelled by what their tags and names say, with a share of the path tokens left out at random.
 
 Defined results: a null page counts as empty; without main text, text is '' and n_chars 0. Scripts, styles, comments
 and markup never give blocks, nor does what lies in svg, noscript or template. These end at '/>', at their end tag or
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import runs, segment_hashes, utf8
 
-#: Pages of the input that training may see, and the longest that it takes; pages made here.
-SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES = 200, 20_000, 700
-BINS, PATH, WORDS, DENSE, HIDDEN = 2048, 12, 6, 3, 10
+#: Pages of the input that training may see, and the blocks that it takes of each; pages made here, of either kind.
+SAMPLE_PAGES, WINDOW, MADE_PAGES = 200, 400, 350
+BINS, PATH, WORDS, DENSE, HIDDEN = 4096, 12, 6, 3, 12
 INPUT = PATH + WORDS + DENSE
-EPOCHS, BATCH, RATE = 8, 32, 0.02
+EPOCHS, BATCH, RATE = 6, 32, 0.02
 #: Blocks that are read side by side.
 CELLS = 1 << 15
 
@@ -224,6 +227,107 @@ def made_pages(n: int, rng: np.random.Generator) -> list[str]:
     return [whole() for _ in range(n)]
 
 
+#: Starts every piece of main text of a marked page; a private-use character.
+MARK = "\ue000"
+#: Words that parts beside the main text often have.
+NOTES = (
+    "We use cookies to improve this site|Accept all cookies|Subscribe to our newsletter|Sign in|Log in or register|Share this page|Advertisement|Sponsored content|Copyright 2020 all rights reserved|"
+    "Privacy policy|Terms of use|Read more|Related articles|Leave a reply|Comments|Follow us|Search|Back to top|Contact us"
+).split("|")
+
+
+def marked_pages(n: int, rng: np.random.Generator, anonymous: float = 0.35) -> list[str]:
+    """Pages whose main text is marked. A share is anonymous: no tag or name says what a part is."""
+    syllables = [a + b for a in "b c d f g l m n p r s t v".split() for b in "a e i o u an er on".split()]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    line = lambda lo, hi: " ".join(word() for _ in range(rng.integers(lo, hi)))
+    pick = lambda of: of[rng.integers(len(of))]
+
+    def page() -> str:
+        blind = rng.random() < anonymous
+
+        def part(names: list[str], inner: str, tags: list[str]) -> str:
+            """An element that one of the names describes, by tag or by class, id or role; by neither on a blind page."""
+            if not blind and tags and rng.random() < 0.4:
+                return f"<{(t := pick(tags))}>{inner}</{t}>"
+            name = word() if blind else pick(names) + pick(["", "", "", "-" + word(), "-box", "-list"])
+            name = pick(["", word() + "-", word() + " "]) + name if rng.random() < 0.3 else name
+            tag = pick(["div", "div", "section", "ul" if "<li" in inner else "div"])
+            return f'<{tag} {pick(["class", "class", "id"])}="{name}">{inner}</{tag}>'
+
+        links = lambda lo, hi: "<ul>" + "".join(f'<li><a href="/{word()}">{line(1, 4)}</a></li>' for _ in range(rng.integers(lo, hi))) + "</ul>"
+        flat = lambda: " | ".join(f'<a href="/">{line(1, 3)}</a>' for _ in range(rng.integers(2, 7)))
+        noted = lambda: pick(NOTES) + (" " + line(1, 9) if rng.random() < 0.5 else "")
+        prose = lambda lo, hi: "".join(f"<p>{line(lo, hi)}</p>" for _ in range(rng.integers(1, 4)))
+
+        def comments() -> str:
+            one = lambda: pick([f"<p>{line(2, 30)}</p>", f"<b>{line(1, 3)}</b> <p>{line(2, 30)}</p>", f"<cite>{line(1, 3)}</cite><p>{line(4, 40)}</p><a href='#'>{word()}</a>", line(2, 30)])
+            tag = pick(["div", "li", "p", "article"])
+            rows = "".join(f'<{tag} class="{pick(["comment", "comment-body", "reply", "comment " + word()])}">{one()}</{tag}>' if rng.random() < 0.5 else f"<div>{one()}</div>" for _ in range(rng.integers(1, 6)))
+            return part(["comments", "comments", "comment", "replies", "respond", "discussion", "comment-list"], f"<h3>{noted()}</h3>" * (rng.random() < 0.4) + rows, [])
+
+        beside = [
+            lambda: part(["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs"], pick([links(2, 9), flat()]), ["nav", "header", "menu"]),
+            lambda: part(["header", "masthead", "banner", "toolbar"], f"<a href='/'>{line(1, 3)}</a>" + flat() * (rng.random() < 0.5), ["header"]),
+            lambda: part(["footer", "copyright", "legal", "disclaimer"], pick([noted(), "&copy; 20" + line(1, 5), flat(), links(2, 6), f"<p>{noted()}</p>"]), ["footer"]),
+            lambda: part(["cookie", "cookies", "cookie-notice", "consent", "notice", "alert", "popup", "modal"], f"<p>{noted()}</p>" * (rng.random() < 0.6) or noted(), ["dialog"]) + "",
+            lambda: part(["newsletter", "subscribe", "signup", "login", "search", "form"], f"<label>{noted()}</label><input><button>{word()}</button>", ["form"]),
+            lambda: part(["ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "banner"], pick([noted(), f"<a href='/'>{line(2, 9)}</a>", line(2, 9) if not blind else noted()]), []),
+            lambda: part(["sidebar", "related", "recommended", "widget", "social", "share", "tags", "pagination"], f"<h3>{noted()}</h3>" * (rng.random() < 0.6) + pick([links(1, 7), flat()] + [prose(2, 25)] * (not blind)), ["aside"]),
+        ]
+        if not blind:
+            beside.append(comments)
+        within = [beside[3], beside[5], beside[6]] + [comments, comments] * (not blind)
+
+        def main() -> str:
+            head = [f"<{(t := pick(['h1', 'h1', 'h2']))}>{MARK}{line(1, 9)}</{t}>"] * (rng.random() < 0.8)
+            parts = []
+            long = 60 if rng.random() < 0.8 else 12
+            for _ in range(rng.integers(1, 9)):
+                k = rng.integers(9)
+                own = f"<p>{MARK}{line(1 if rng.random() < 0.2 else 6, long + 1)}</p>"
+                if k == 0:
+                    own = f"<h2>{MARK}{line(1, 6)}</h2>" + own
+                elif k == 1:
+                    own += "<ul>" + "".join(f"<li>{MARK}{line(2, 14)}</li>" for _ in range(rng.integers(1, 6))) + "</ul>"
+                elif k == 2:
+                    own = f"<p>{MARK}{line(1, 30)}<br>{MARK}{line(1, 30)}<p>{MARK}{line(3, long + 1)}"
+                elif k == 3:
+                    own += f"<blockquote>{MARK}{line(3, 20)}</blockquote>"
+                elif k == 4:
+                    own = f'<p>{MARK}{line(4, 20)} <a href="/">{line(1, 4)}</a> {line(2, long + 1)} <em>{line(1, 3)}</em></p>'
+                elif k == 5:
+                    own = f"<div>{MARK}{line(5, long + 1)}</div>"
+                elif k == 6 and rng.random() < 0.3:
+                    own += "<table>" + "".join(f"<tr><td>{MARK}{line(1, 4)}</td><td>{MARK}{line(1, 4)}</td></tr>" for _ in range(rng.integers(1, 4))) + "</table>"
+                parts.append(own)
+                if rng.random() < 0.12:
+                    parts.append(pick(within)())
+            if rng.random() < 0.3 and not blind:
+                parts.append(comments())
+            return "".join([*head, *parts])
+
+        own, k = main(), rng.random()
+        if k < 0.25:
+            pass  # nothing but the body
+        elif k < 0.45 or blind:
+            own = f"<div class='{word()}'>{own}</div>"
+        else:
+            own = pick([f"<article>{own}</article>", f"<main>{own}</main>", f'<div {pick(["class", "id"])}="{pick(MAIN_NAMES)}">{own}</div>', f"<main><article>{own}</article></main>"])
+        for _ in range(rng.integers(0, 3)):
+            own = f'<div class="{pick([word(), "wrap", "container", "page", "row", "col"])}">{own}</div>'
+        before, after = ("".join(pick(beside)() for _ in range(rng.integers(0, 4))) for _ in range(2))
+        return f"<html><head><title>{line(1, 9)}</title></head><body>{before}{own}{after}" + "</body></html>" * (rng.random() < 0.8)
+
+    return [page() for _ in range(n)]
+
+
+def unmarked(page: str) -> tuple[list[Block], np.ndarray]:
+    """Blocks of a marked page, without the marks, and which are main text."""
+    own = blocks_of(page)
+    return [Block(b.text.replace(MARK, ""), b.path, b.linked) for b in own], np.array([MARK in b.text for b in own], np.float32)
+
+
 _bins: dict[str, int] = {}
 
 
@@ -290,7 +394,8 @@ class Labeller:
             self.w |= {f"{d}x": n(INPUT, 4 * HIDDEN), f"{d}h": n(HIDDEN, 4 * HIDDEN), f"{d}c": np.zeros(4 * HIDDEN, np.float32)}
 
     def inputs(self, f: Features) -> np.ndarray:
-        return np.concatenate([2 * _mean(self.w["path"], f.path, _counts(f)), _mean(self.w["word"], f.word, f.word_n), f.dense], axis=1)
+        n = _counts(f)
+        return np.concatenate([_mean(self.w["path"], f.path, n) * np.sqrt(n, dtype=np.float32)[:, None], _mean(self.w["word"], f.word, f.word_n), f.dense], axis=1)
 
     def run(self, x: np.ndarray, real: np.ndarray, d: str, keep: dict | None = None) -> np.ndarray:
         """States (T, B, H) for inputs (T, B, INPUT); outside `real` the state is zero."""
@@ -359,12 +464,11 @@ def placed(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first + np.minimum(t, n - 1), t < n
 
 
-def train(pages: list[str], seed: int = 3) -> Labeller:
-    """Fit on pages made here and on those given that have both kinds of blocks."""
+def train(pages: list[list[Block]], seed: int = 3) -> Labeller:
+    """Fit on pages made here and on those given, as blocks, that have main text by their tags and names."""
     rng = np.random.default_rng(seed)
-    seen = []
-    for p in [*made_pages(MADE_PAGES, rng), *pages]:
-        own = blocks_of(p)
+    seen = [x for p in marked_pages(3 * MADE_PAGES, rng) if len((x := unmarked(p))[0])]
+    for own in [*(blocks_of(p) for p in made_pages(MADE_PAGES, rng)), *pages]:
         labels = [told(b.path) for b in own]
         if 0 < sum(labels):
             seen.append((own, np.array(labels, np.float32)))
@@ -379,6 +483,9 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
             sizes = np.array([len(y) for _, y in part])
             f = Features(np.concatenate([p.path for p, _ in part]), np.zeros(0), np.concatenate([p.word for p, _ in part]), np.concatenate([p.word_n for p, _ in part]), np.concatenate([p.dense for p, _ in part]))
             counts = np.concatenate([_counts(p) for p, _ in part])
+            stays = rng.random(len(f.path)) > 0.1
+            counts = np.add.reduceat(stays, np.cumsum(counts) - counts).astype(np.int64)
+            f.path = f.path[stays]
             f.path_at = np.cumsum(counts) - counts
             x, y = m.inputs(f), np.concatenate([y for _, y in part])
             x[:, PATH : PATH + WORDS] *= rng.random(len(x))[:, None] < 0.5  # words alone shall not decide
@@ -395,7 +502,7 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
             d = np.zeros_like(x)
             d[at[real]] = dx[real]
             g["path"], g["word"] = np.zeros_like(m.w["path"]), np.zeros_like(m.w["word"])
-            np.add.at(g["path"], f.path, np.repeat(2 * d[:, :PATH] / np.maximum(counts, 1)[:, None], counts, axis=0))
+            np.add.at(g["path"], f.path, np.repeat(d[:, :PATH] / np.sqrt(np.maximum(counts, 1))[:, None], counts, axis=0))
             np.add.at(g["word"], f.word, np.repeat(d[:, PATH : PATH + WORDS] / np.maximum(f.word_n, 1)[:, None], f.word_n, axis=0))
             step += 1
             rate = RATE * 0.7**epoch
@@ -434,12 +541,25 @@ def _extracted(m: Labeller):
     return run
 
 
+def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A window of WINDOW blocks of each page, from a place that its url decides, for training."""
+    for b in batches:
+        rows = [[], [], []]
+        for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            own = blocks_of(page or "")
+            at = zlib.crc32((url or "").encode()) % max(1, len(own) - WINDOW + 1)
+            own = own[at : at + WINDOW]
+            for x, y in zip(rows, ([b.text for b in own], ["\n".join(b.path) for b in own], [b.linked for b in own]), strict=True):
+                x.append(y)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], pa.list_(pa.string())), pa.array(rows[1], pa.list_(pa.string())), pa.array(rows[2], pa.list_(pa.int32()))], names=["page_id", "text", "path", "linked"])
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     n = pages.count()
     share = F.pmod(F.xxhash64("page_id", F.lit("html")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_PAGES / max(n, 1)))
-    short = pages.filter(share & (F.length("html") <= SAMPLE_CHARS))
-    got = short.select("page_id", "html").limit(4 * SAMPLE_PAGES).collect()
-    model = train([r.html for r in sorted(got, key=lambda r: (r.page_id is None, r.page_id, r.html))])
+    got = pages.filter(share).mapInArrow(_windowed, "page_id long, text array<string>, path array<string>, linked array<int>").limit(4 * SAMPLE_PAGES).collect()
+    seen = sorted(got, key=lambda r: (r.page_id is None, r.page_id or 0, r.text))
+    model = train([[Block(t, tuple(p.split("\n")) if p else (), n) for t, p, n in zip(r.text, r.path, r.linked, strict=True)] for r in seen])
     return pages.mapInArrow(_extracted(model), "page_id long, url string, text string, n_chars long")
