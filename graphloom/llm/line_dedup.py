@@ -1,12 +1,13 @@
 """Operator 5: line dedup by pairwise alignment.
 
 Documents that share lines become pairs of a later and an earlier document (by doc_id): a rare line, in RARE documents
-or fewer, pairs each of them with every earlier one; a more frequent line pairs them with its first holder, so that
-pairs grow with the lines. Each pair is aligned by patience diff (lines unique in both anchor the alignment, which is
+or fewer, pairs each of them with every earlier one; a more frequent line pairs each with the holder before it, in
+chains of about CHAIN holders whose heads are chained in turn, so that pairs grow with the lines and no document meets
+all others. Each pair is aligned by patience diff (lines unique in both anchor the alignment, which is
 then refined between anchors), and aligned common blocks of MIN_WORDS words or more are deleted from the later one.
 
-An exact pass follows for what alignments miss: blocks that are moved or repeated, and frequent lines whose first
-holder lacks the block. Every text gives the hashes of its windows, the shortest runs of lines with MIN_WORDS words
+An exact pass follows for what alignments miss: blocks that are moved or repeated, and frequent lines where the holder
+before lacks the block. Every text gives the hashes of its windows, the shortest runs of lines with MIN_WORDS words
 that start or that end at a line; each window of a later document that an earlier one has as well leaves it. Any common
 block is covered by windows inside it, so a text keeps no block of MIN_WORDS words that an earlier document has. The
 first holder of a block keeps it, with all its copies there. Blocks are those of the given texts, not ones that
@@ -14,7 +15,8 @@ deletions bring together; hashes of 64 bits stand for lines and windows.
 
 Defined results: empty lines never count; null and empty texts are left alone; nulls in doc_id come last in the order;
 rows equal in doc_id and text are one document and are treated alike; among rows that share a doc_id alone, a hash of
-the text decides which is earlier. Other columns are kept.
+the text decides which is earlier; an empty table gives an empty one; a text is handled in one piece, however long.
+Other columns are kept; columns of docs that are called n_lines or n_removed give way to the new ones.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import dropped, mix64, runs, saved, segment_hashes, slices, utf8
 
-RARE, MIN_WORDS = 6, 8
+RARE, CHAIN, MIN_WORDS = 6, 1024, 8
 LINE = np.dtype([("h", "<u8"), ("w", "<u4")])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -164,26 +167,23 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["ord", "digest", "gone"])
 
 
-def _rewritten(text_at: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, total, removed = [], [], []
-            for t, gone in zip(b.column(text_at).to_pylist(), b.column("_gone").to_pylist(), strict=True):
-                lines = t.split("\n") if t else []
-                total.append(sum(x != "" for x in lines))
-                removed.append(len(gone or []))
-                if gone:
-                    away, n, kept = set(gone), -1, []
-                    for x in lines:
-                        n += x != ""
-                        if x == "" or n not in away:
-                            kept.append(x)
-                    t = "\n".join(kept) if any(kept) else ""
-                texts.append(t)
-            columns = [pa.array(texts, pa.string()) if k == text_at else b.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
-
-    return run
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (row, text, gone): row, the text without the lines in gone, n_lines, n_removed."""
+    for b in batches:
+        texts, total, removed = [], [], []
+        for t, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            lines = t.split("\n") if t else []
+            total.append(sum(x != "" for x in lines))
+            removed.append(len(gone or []))
+            if gone:
+                away, n, kept = set(gone), -1, []
+                for x in lines:
+                    n += x != ""
+                    if x == "" or n not in away:
+                        kept.append(x)
+                t = "\n".join(kept) if any(kept) else ""
+            texts.append(t)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "n_lines", "n_removed"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -195,7 +195,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     me = F.struct("ord", "digest")
     shared = saved(held.groupBy("h").agg(F.count("*").alias("n"), F.min(me).alias("first")).filter("n > 1"), "shared")
     holders = held.join(shared, "h").select("h", "n", "first", me.alias("later"))
-    often = holders.filter((F.col("n") > RARE) & (F.col("later") > F.col("first"))).select("later", F.col("first").alias("earlier"))
+    chain = holders.filter(F.col("n") > RARE).withColumn("chain", F.pmod(F.xxhash64("later", "h"), F.ceil(F.col("n") / CHAIN)))
+    chain = chain.withColumn("earlier", F.lag("later").over(Window.partitionBy("h", "chain").orderBy("later")))
+    heads = chain.filter("earlier is null").select("h", "later").withColumn("earlier", F.lag("later").over(Window.partitionBy("h").orderBy("later")))
+    often = chain.select("later", "earlier").union(heads.select("later", "earlier")).filter("earlier is not null")
     few = holders.filter(F.col("n") <= RARE).groupBy("h").agg(F.array_sort(F.collect_list("later")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("k", "later")).filter("k > 0").select("later", F.explode(F.expr("slice(all, 1, k)")).alias("earlier"))
     pairs = often.union(few).distinct().select("later.*", F.col("earlier.ord").alias("e_ord"), F.col("earlier.digest").alias("e_digest"))
@@ -214,10 +217,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone
 
 
+def rewritten(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, as given), text, n_lines and n_removed of every row of docs."""
+    gone = repeated_lines(docs)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.join(gone, ["ord", "digest"], "left").select("row", F.col("row.text").cast("string").alias("text"), "_gone")
+    out = StructType([StructField("row", docs.schema), StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return rows.mapInArrow(_rewritten, out)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with text rewritten, and n_lines, n_removed."""
-    gone = repeated_lines(docs).withColumnsRenamed({"ord": "_ord", "digest": "_digest"})
-    rows = docs.withColumns({"_ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_digest": F.xxhash64("text")})
-    rows = rows.join(gone, ["_ord", "_digest"], "left").select(*docs.columns, "_gone")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(_rewritten(docs.columns.index("text"), docs.columns), f"{kinds}, n_lines long, n_removed long")
+    new = ("n_lines", "n_removed")
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in new]
+    return rewritten(docs).select(*own, *new)
