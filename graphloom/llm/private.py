@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +39,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 # Forms of mentions that only a trusted pattern makes a span.
 _LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}|[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)+| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+)")),
     ("ip", re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|-|,)[0-9]{1,3}){3}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9.])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4})+(?![0-9])")),
 )
 _DIGIT, _AT = re.compile("[0-9]"), re.compile(r"@|\(at\)|\[at\]| at ")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,24 +98,39 @@ def _holds(kind: str, value: str) -> bool:
     return kind != "phone" or 7 <= len(digits) <= 15
 
 
-def left_pattern(text: str, start: int) -> str:
-    """The two words before a position, lower-cased; empty where there are none."""
-    return " ".join(w.lower() for w in _WORD.findall(text[max(0, start - 80) : start])[-2:])
+def left_patterns(text: str, starts: list[int]) -> list[str]:
+    """The two words before each position, lower-cased; empty where there are none. One pass over the words of the text."""
+    out, last, words = [], ("", ""), _WORD.finditer(text)
+    word = next(words, None)
+    for start in starts:  # ascending
+        while word is not None and word.end() <= start:
+            last = last[1], word[0].lower()
+            word = next(words, None)
+        cut = text[word.start() : start].lower() if word is not None and word.start() < start else ""
+        out.append(" ".join(x for x in ((last[1], cut) if cut else last) if x))
+    return out
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """(kind, start, end, pattern, value, seed) of the base entities and of strings of a related form."""
-    out = [(k, s, e, left_pattern(text, s), text[s:e].lower(), True) for k, s, e in base]
+    found = [(s, e, k, True) for k, s, e in base]
     digit, at = bool(_DIGIT.search(text)), bool(_AT.search(text))
     taken = sorted((s, e) for _, s, e in base)
+    begins = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))
     for k, (kind, form) in enumerate(_LOOSE):
         if not (at if kind == "email" else digit):
             continue
         for m in form.finditer(text):
             s, e = m.span()
-            if _holds(kind, m[0]) and not any(a < e and s < b for a, b in taken):
-                out.append((k, s, e, left_pattern(text, s), m[0].lower(), False))
-    return out
+            i = bisect_left(begins, e)
+            if _holds(kind, m[0]) and not (i and reach[i - 1] > s):
+                found.append((s, e, k, False))
+    if not found:
+        return []
+    found.sort(key=lambda x: (x[0], x[2], x[1]))
+    rows = zip(found, left_patterns(text, [x[0] for x in found]), strict=True)
+    return sorted((k, s, e, p, text[s:e].lower(), seed) for (s, e, k, seed), p in rows)
 
 
 _MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_())])
