@@ -281,6 +281,22 @@ def test_repeated_blocks_equal_brute_force(docs):
     assert got == want and 0 < sum(want.values())
 
 
+def test_columns_with_clashing_names_stay(spark):
+    block = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"own\n{block}", 7, "a", 5, 6, "r"), (2, f"mine\n{block}", 8, "b", 5, 6, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, _ord string, _gone int, ord int, row string")
+    out = line_dedup.without_repeats(docs)
+    assert out.columns == ["doc_id", "text", "_ord", "_gone", "ord", "row", "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, rows[0][1], "a", 5, 6, "r", 2, 0), (2, "mine", "b", 5, 6, "s", 2, 1)]
+
+
+def test_frequent_lines_pair_in_chains(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHAIN", 4)
+    block = "\n".join(" ".join(f"w{j}.{k}" for k in range(9)) for j in range(3))
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(docs([(i, f"own {i}\n{block}", None, None) for i in range(60)])).collect()}
+    assert got == {0: f"own 0\n{block}"} | {i: f"own {i}" for i in range(1, 60)}
+
+
 # 6: language
 
 
@@ -370,6 +386,15 @@ def test_patterns_are_scored_to_the_fixpoint(docs, unseen, found):
     assert {got[50 + i] for i in range(unseen)} == {"phone:15:27" if found else ""}
 
 
+def test_mentions_are_whole_and_words_before_them_too():
+    long = "x" * 300
+    text = f"{'a' * 200} {'b' * 200} {long}@{'y' * 80}.{'z' * 80}"
+    assert private.mentions(text, private.base_spans(text)) == [(0, 402, len(text), f"{'a' * 200} {'b' * 200}", text[402:].lower(), True)]
+    text = f"write to {long} at {'y' * 80} dot com now"
+    assert [x[1:4] for x in private.mentions(text, [])] == [(9, text.index(" now"), "write to")]
+    assert private.mentions("1 " * 50_000 + "end", []) == []
+
+
 # 8: packing
 
 
@@ -425,6 +450,42 @@ def test_main_text_of_pages(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+LINE30, LINE20 = (" ".join(f"lorem{chr(97 + k % 26)}" for k in range(n)) for n in (30, 20))
+NAV = '<div class="nav"><a href="/">Home</a> <a href="/b">About</a></div>'
+BARE = [
+    (f"<body>{NAV}<h1>Title</h1><p>{LINE30}</p><p>{LINE20}</p></body>", f"Title\n{LINE30}\n{LINE20}"),
+    (f'<body>{NAV}<div class="wrap"><h1>Title</h1><p>{LINE30}</p><p>{LINE20}</p></div></body>', f"Title\n{LINE30}\n{LINE20}"),
+    (f'<article><h1>Title</h1><p>{LINE30}</p><div class="cookie-notice">We use cookies</div><p>{LINE20}</p></article>', f"Title\n{LINE30}\n{LINE20}"),
+    (f'<article><h1>Title</h1><p>{LINE30}</p><section id="comments"><h3>Comments</h3><div><b>Ann</b><p>{LINE20}</p></div></section></article>', f"Title\n{LINE30}"),
+]
+
+
+@pytest.mark.parametrize("seed", [3, 1, 2])
+def test_parts_that_no_name_tells(seed):
+    m = html_text.train([], seed)
+    assert html_text.extract([p for p, _ in BARE], m) == [t for _, t in BARE]
+    rng = np.random.default_rng(40 + seed)
+    for pages in (html_text.marked_pages(100, rng), html_text.marked_pages(100, rng, 1.0)):  # the last ones have unseen names only
+        right = total = 0
+        for own, truth in map(html_text.unmarked, pages):
+            if own:
+                right += int((m.marks(html_text.features(own), np.array([len(own)])) == (truth > 0)).sum())
+                total += len(own)
+        assert right / total >= 0.95
+
+
+def test_repeated_deep_and_long_pages(spark):
+    page = f"<article><p>{LINE30}</p></article>"
+    deep = "<div>" * 3000 + f"<p>{LINE30}</p>" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>{LINE30} {k}</p>" for k in range(5000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 1), (2, "v", deep, 2), (3, "w", long, 3)], "page_id long, url string, html string, text int")
+    got = html_text.main_text(pages).collect()
+    assert len(got) == 4
+    assert [r.text for r in got if r.page_id == 1] == [LINE30] * 2
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert [r.text.count("\n") for r in got if r.page_id == 3] == [4999]
+
+
 def test_blocks_decode_and_join_white_space():
     own = html_text.blocks_of("<ul><li>a&nbsp;&lt;b&gt;<li>c\n\n d</ul><!-- no --><td>e<td>f")
     assert [b.text for b in own] == ["a <b>", "c d", "e", "f"]
