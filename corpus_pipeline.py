@@ -28,9 +28,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the blocks of lines that an earlier document has; a text that had lines and lost all of them goes."""
-    rows = line_dedup.without_repeats(docs)
-    rows = rows.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    rows = line_dedup.rewritten(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, length).otherwise(F.col("row.n_chars"))}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
