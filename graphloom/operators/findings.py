@@ -9,11 +9,15 @@ from ..functions.ranks import severity_rank
 
 #: Categories that chain with one another, and evidence classes of categories.
 CHAINS = {
+    "Oracle/Randomness": ("Accounting", "Governance", "External Call"),
+    "Access Control": ("Proxy", "Governance", "Reentrancy"),
+    "Proxy": ("Access Control", "External Call"),
+    "Accounting": ("Oracle/Randomness", "Flash Loan"),
     "Reentrancy": ("Accounting", "External Call"),
-    "Oracle/Randomness": ("Accounting", "Governance"),
-    "Access Control": ("Governance", "Proxy", "External Call"),
-    "Governance": ("Proxy",),
-    "Cross-Chain": ("External Call", "Access Control"),
+    "Governance": ("Access Control", "Accounting"),
+    "External Call": ("Reentrancy", "Access Control"),
+    "Cryptography": ("Access Control", "Governance"),
+    "DeFi Math": ("Oracle/Randomness", "Accounting"),
 }
 STRONG = ("Reentrancy", "Oracle/Randomness", "Access Control", "External Call", "Accounting")
 MEDIUM = ("Governance", "Gas/DoS", "DeFi Math", "Cryptography")
@@ -27,8 +31,10 @@ def chained() -> list[tuple[str, str]]:
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of every key. A maximum of a struct needs no sort of whole groups."""
-    return rows.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rk = 1").drop("_rk")
+    """The first row of every key. A minimum by the order is combined before the shuffle and sorts no groups."""
+    own = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*own), F.struct(*order)).alias("_first"))
+    return first.select(*(c if c in keys else F.col(f"_first.{c}").alias(c) for c in rows.columns))
 
 
 def novel(batch: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,15 +83,15 @@ def numbering(rows: DataFrame) -> DataFrame:
 
 
 def chain_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b) of findings of medium severity or more with chained categories that agree in keys, a before b.
+    """Pairs (a, b) of findings of medium severity or more with chained categories, a before b, of the same audit.
 
-    keys keep the pairs within a place, so their number grows with the findings of a place."""
+    keys name the audit, so the number of pairs grows with the findings of an audit and not of all."""
     spark = rows.sparkSession
     pairs = spark.createDataFrame(chained(), "ca string, cb string")
     good = rows.filter(severity_rank("severity") <= 2)
     a = good.select(F.col("id").alias("a"), F.col("category").alias("ca"), *keys).join(F.broadcast(pairs), "ca")
     b = good.select(F.col("id").alias("b"), F.col("category").alias("cb"), *keys)
-    return a.join(b, ["cb", *keys]).filter("a < b").select("a", "b", "ca", "cb")
+    return a.join(b, ["cb", *keys]).filter("a < b").select("a", "b", "ca", "cb", *keys)
 
 
 def depth_merge(findings: DataFrame, results: DataFrame) -> DataFrame:

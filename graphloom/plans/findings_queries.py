@@ -25,9 +25,11 @@ def severity_gate(v: Views) -> DataFrame:
     return v.findings.select("id", (severity_rank("severity") <= 1).alias("deep"), (severity_rank("severity") <= 2).alias("chain"))
 
 
-@query("survivors", "findings", "SELECT id, severity FROM findings WHERE confidence <> 'Uncertain'")
+@query("survivors", "findings", "SELECT id, severity FROM findings WHERE CASE WHEN id % 7 = 0 THEN 'Refuted' ELSE confidence END <> 'Refuted'")
 def survivors(v: Views) -> DataFrame:
-    return v.findings.filter("confidence <> 'Uncertain'").select("id", "severity")
+    """Findings that the verdicts, where there are any, have not refuted."""
+    verdicts = v.findings.filter("id % 7 = 0").select("id", F.lit("Refuted").alias("verdict"))
+    return v.findings.join(verdicts, "id", "left").filter(F.coalesce("verdict", "confidence") != "Refuted").select("id", "severity")
 
 
 @query("dedup_first", "findings", "SELECT min(id) AS id, location, category FROM findings GROUP BY 2, 3")
@@ -58,10 +60,14 @@ def finding_numbering(v: Views) -> DataFrame:
     return N.numbering(v.findings).select("id", "number")
 
 
+_CHAINED = """(VALUES ('Oracle/Randomness', 'Accounting'), ('Oracle/Randomness', 'Governance'), ('Oracle/Randomness', 'External Call'), ('Access Control', 'Proxy'), ('Access Control', 'Governance'), ('Access Control', 'Reentrancy'), ('Proxy', 'External Call'),
+    ('Accounting', 'Flash Loan'), ('Reentrancy', 'Accounting'), ('Reentrancy', 'External Call'), ('Governance', 'Accounting'), ('External Call', 'Access Control'), ('Cryptography', 'Access Control'), ('Cryptography', 'Governance'), ('DeFi Math', 'Oracle/Randomness'), ('DeFi Math', 'Accounting'))"""
+
+
 @query(
     "chain_pairs",
     "findings",
-    f"SELECT a.id AS a, b.id AS b FROM findings a JOIN findings b ON a.location = b.location AND a.id < b.id JOIN (VALUES {', '.join(map(str, N.chained()))}) p(ca, cb) ON ca = a.category AND cb = b.category WHERE a.severity IN ('Critical', 'High', 'Medium') AND b.severity IN ('Critical', 'High', 'Medium')",
+    f"SELECT DISTINCT a.id AS a, b.id AS b FROM findings a JOIN findings b ON a.location = b.location AND a.id < b.id JOIN {_CHAINED} p(ca, cb) ON (ca = a.category AND cb = b.category) OR (cb = a.category AND ca = b.category) WHERE a.severity IN ('Critical', 'High', 'Medium') AND b.severity IN ('Critical', 'High', 'Medium')",
 )
 def chain_pairs(v: Views) -> DataFrame:
     return N.chain_pairs(v.findings, ["location"]).select("a", "b")
@@ -169,33 +175,6 @@ def parse_findings(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", parse_severity(F.when(F.upper("role") == "USER", F.lit(" hIGH ")).otherwise(F.lit("?"))).alias("severity"))
 
 
-@query(
-    "route_agents",
-    "flags",
-    """SELECT DISTINCT agent FROM (SELECT unnest(CASE flag WHEN 'AUTOMOBILE' THEN ['economic'] WHEN 'BUILDING' THEN ['execution_trace'] WHEN 'MACHINERY' THEN ['economic', 'execution_trace'] ELSE CAST([] AS VARCHAR[]) END) AS agent FROM flags
-    UNION ALL SELECT unnest(['reasoning', 'structural', 'vector_scan']) UNION ALL SELECT 'periphery' WHERE (SELECT count(*) FROM nation) >= 5)""",
-)
-def route_agents(v: Views) -> DataFrame:
-    """Agents always on, those that flags trigger, and one for a large number of contracts."""
-    triggers = v.spark.createDataFrame([("AUTOMOBILE", "economic"), ("BUILDING", "execution_trace"), ("MACHINERY", "economic"), ("MACHINERY", "execution_trace")], "flag string, agent string")
-    by_flag = v.flags.select("flag").distinct().join(F.broadcast(triggers), "flag").select("agent")
-    always = v.spark.createDataFrame([("reasoning",), ("structural",), ("vector_scan",)], "agent string")
-    many = v.contracts.agg(F.count("*").alias("n")).filter("n >= 5").select(F.lit("periphery").alias("agent"))
-    return by_flag.union(always).union(many).distinct()
-
-
-@query(
-    "substring_match_join",
-    "findings",
-    "SELECT DISTINCT category, agent FROM findings JOIN (VALUES ('access'), ('oracle'), ('gas'), ('proxy'), ('governance_hunter'), ('reentrancy')) a(agent) ON contains(lower(category), agent) OR contains(agent, lower(category))",
-)
-def substring_match_join(v: Views) -> DataFrame:
-    agents = v.spark.createDataFrame([(x,) for x in ("access", "oracle", "gas", "proxy", "governance_hunter", "reentrancy")], "agent string")
-    labels = v.findings.select("category").distinct()
-    low = F.lower("category")
-    return labels.join(F.broadcast(agents), low.contains(F.col("agent")) | F.col("agent").contains(low))
-
-
 @query(
     "run_summary",
     sql="SELECT event_type AS action, count(*) AS n, round(sum(value), 4) AS cost, CAST(sum(coalesce(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT), 0)) AS BIGINT) AS tokens FROM events GROUP BY 1",

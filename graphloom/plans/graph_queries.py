@@ -40,9 +40,9 @@ def graph_token_flows(v: Views) -> DataFrame:
     return v.edges.filter(G.kind("TOKEN_FLOW")).select("src", "dst")
 
 
-@query("graph_contract_functions", "functions", "SELECT id, name FROM functions WHERE starts_with(id, 'fn:FRANCE.')")
+@query("graph_contract_functions", "functions", "SELECT id, name FROM functions WHERE starts_with(id, 'fn:NATION_7.')")
 def graph_contract_functions(v: Views) -> DataFrame:
-    return v.functions.filter(F.col("id").startswith("fn:FRANCE.")).select("id", "name")
+    return v.functions.filter(F.col("id").startswith("fn:NATION_7.")).select("id", "name")
 
 
 @query("graph_neighbors", "edges", "SELECT dst AS var, count(*) FILTER (type = 'WRITES') AS n_writers, count(*) AS n_readers FROM edges WHERE type IN ('READS', 'WRITES') GROUP BY 1")
@@ -140,23 +140,6 @@ def co_write_gaps(v: Views) -> DataFrame:
     return G.co_write_gaps(v.edges.filter(G.kind("WRITES")))
 
 
-@query("dual_record", "variables", "SELECT contract, count(*) FILTER (id LIKE '%1_') AS marked, count(*) FILTER (id NOT LIKE '%1_') AS plain FROM variables GROUP BY 1 HAVING marked >= 1 AND plain >= 1 OR count(*) > 5")
-def dual_record(v: Views) -> DataFrame:
-    """A pair with exactly one marked name exists where there is a marked and an unmarked one."""
-    marked = F.col("id").rlike("1.$")
-    return v.variables.groupBy("contract").agg(F.count_if(marked).alias("marked"), F.count_if(~marked).alias("plain")).filter("marked >= 1 and plain >= 1 or marked + plain > 5")
-
-
-@query(
-    "cap_unchecked_writers",
-    "variables edges",
-    "SELECT DISTINCT c.id AS cap, w.src AS fn FROM variables c JOIN variables x ON x.id <> c.id AND x.id > c.id JOIN edges w ON w.dst = x.id AND w.type = 'WRITES' WHERE c.is_constant AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.dst = c.id AND r.src = w.src AND r.type IN ('READS', 'WRITES'))",
-)
-def cap_unchecked_writers(v: Views) -> DataFrame:
-    caps = v.variables.filter("is_constant").select(F.col("id").alias("cap")).join(v.variables.select(F.col("id").alias("var")), F.col("var") > F.col("cap"))
-    return G.cap_unchecked_writers(v.edges.filter(G.kind("WRITES")), v.edges.filter(G.kind("READS") | G.kind("WRITES")), caps)
-
-
 @query(
     "mutation_matrix",
     "edges",
@@ -339,25 +322,11 @@ def small_groups_first(v: Views) -> DataFrame:
     return rk.filter(F.col("rk") <= F.greatest(F.lit(1), F.floor(F.col("all") / 2))).select("contract", "n")
 
 
-@query("sel_periphery", "functions contracts", "SELECT c.name AS contract, c.is_library, count(f.id) AS n FROM contracts c LEFT JOIN functions f ON f.contract = c.name GROUP BY 1, 2 HAVING c.is_library OR n <= 5 OR c.name LIKE '%A'")
-def sel_periphery(v: Views) -> DataFrame:
-    n = v.functions.groupBy(F.col("contract").alias("name")).agg(F.count("*").alias("n"))
-    rows = v.contracts.join(n, "name", "left").select(F.col("name").alias("contract"), "is_library", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return rows.filter(F.col("is_library") | (F.col("n") <= 5) | F.col("contract").endswith("A"))
-
-
 @query("sel_structural", "edges", "SELECT dst AS var, count(*) AS n_writers FROM edges WHERE type = 'WRITES' GROUP BY 1 HAVING count(*) >= 2")
 def sel_structural(v: Views) -> DataFrame:
     return v.edges.filter(G.kind("WRITES")).groupBy(F.col("dst").alias("var")).agg(F.count("*").alias("n_writers")).filter("n_writers >= 2")
 
 
-@query("sel_oracle", "functions variables edges", "SELECT DISTINCT e.src AS id FROM edges e JOIN variables v ON v.id = e.dst AND v.var_type LIKE 'mapping%' WHERE e.type IN ('READS', 'WRITES') UNION SELECT id FROM functions WHERE name LIKE '%7'")
-def sel_oracle(v: Views) -> DataFrame:
-    maps = v.variables.filter(F.col("var_type").startswith("mapping")).select(F.col("id").alias("dst"))
-    users = v.edges.filter(F.col("type").isin("READS", "WRITES")).join(F.broadcast(maps), "dst", "left_semi").select(F.col("src").alias("id"))
-    return users.union(v.functions.filter(F.col("name").endswith("7")).select("id")).distinct()
-
-
 @query("sel_governance", "functions edges", "SELECT f.id, count(*) AS n_writes FROM functions f JOIN edges e ON e.src = f.id AND e.type = 'WRITES' WHERE list_contains(modifiers, 'onlyOwner') OR (len(modifiers) = 0 AND visibility = 'public') GROUP BY 1")
 def sel_governance(v: Views) -> DataFrame:
     admin = v.functions.filter(F.array_contains("modifiers", "onlyOwner") | ((F.size("modifiers") == 0) & (F.col("visibility") == "public"))).select("id")
@@ -370,65 +339,15 @@ def sel_gas(v: Views) -> DataFrame:
     return G.public(v.functions).join(busy, F.col("id") == F.col("src")).select("id")
 
 
-@query("priority_score", "functions edges", "SELECT f.id, CAST(count(e.dst) + CASE WHEN name LIKE '%5' THEN 5 ELSE 0 END + CASE WHEN list_contains(modifiers, 'onlyOwner') THEN 10 ELSE 0 END - CASE WHEN visibility = 'private' THEN 20 ELSE 0 END AS BIGINT) AS priority FROM functions f JOIN edges e ON e.src = f.id AND e.type = 'WRITES' GROUP BY f.id, name, modifiers, visibility")
-def priority_score(v: Views) -> DataFrame:
-    n = v.edges.filter(G.kind("WRITES")).groupBy("src").agg(F.count("*").alias("n"))
-    score = F.col("n") + F.when(F.col("name").endswith("5"), 5).otherwise(0) + F.when(F.array_contains("modifiers", "onlyOwner"), 10).otherwise(0) - F.when(F.col("visibility") == "private", 20).otherwise(0)
-    return v.functions.join(n, F.col("id") == F.col("src")).select("id", score.cast("long").alias("priority"))
-
-
-@query("sel_accounting", "variables edges", "SELECT v.contract, count(DISTINCT v.id) AS n_vars, count(DISTINCT e.src) AS n_writers FROM variables v JOIN edges e ON e.dst = v.id AND e.type = 'WRITES' WHERE NOT is_constant GROUP BY 1")
-def sel_accounting(v: Views) -> DataFrame:
-    own = v.variables.filter("not is_constant").select("contract", F.col("id").alias("dst"))
-    return v.edges.filter(G.kind("WRITES")).join(F.broadcast(own), "dst").groupBy("contract").agg(F.count_distinct("dst").alias("n_vars"), F.count_distinct("src").alias("n_writers"))
-
-
-def _by_name(name: str, pattern: str, extra: str | None = None) -> None:
-    """Selections by name, with the sources of one kind of edge where there is one."""
-    sql = f"SELECT id FROM functions WHERE regexp_matches(name, '{pattern}')" + (f" UNION SELECT src FROM edges WHERE type = '{extra}'" if extra else "")
-
-    @query(name, "functions edges" if extra else "functions", sql)
-    def run(v: Views) -> DataFrame:
-        own = v.functions.filter(F.col("name").rlike(pattern)).select("id")
-        return own.union(v.edges.filter(G.kind(extra)).select("src")).distinct() if extra else own
-
-
-for _name, _pattern, _extra in (
-    ("sel_proxy", "^f1[0-9]*0$", "EXTERNAL_CALL"),
-    ("sel_crypto", "^f2[0-9]*5$", "EXTERNAL_CALL"),
-    ("sel_math", "^f[0-9]*(3|9)$", "TOKEN_FLOW"),
-    ("sel_crosschain", "^f[0-9]*44$", None),
-    ("sel_callback", "^f[0-9]*(1|2)1$", None),
-    ("sel_metatx", "^f7", None),
-    ("sel_statemachine", "^f[0-9]*8$", None),
-    ("sel_fee", "^f[0-9]*(05|50)$", None),
-):
-    _by_name(_name, _pattern, _extra)
-
-RISKS = (("FRANCE", "stale price"), ("CHINA", "fee on transfer"), ("BRAZIL", "callback"), ("EGYPT", "pausable"))
-
-
-@query("risk_dictionary_join", "contracts", f"SELECT name, coalesce(risk, 'unlisted') AS risk FROM contracts LEFT JOIN (VALUES {', '.join(map(str, RISKS))}) r(n, risk) ON n = name")
-def risk_dictionary_join(v: Views) -> DataFrame:
-    risks = v.spark.createDataFrame(RISKS, "name string, risk string")
-    return v.contracts.join(F.broadcast(risks), "name", "left").select("name", F.coalesce("risk", F.lit("unlisted")).alias("risk"))
-
-
-@query("sel_integration", "contracts functions", "SELECT c.name, count(*) AS n FROM contracts c JOIN functions f ON f.contract = c.name WHERE c.is_interface GROUP BY 1")
-def sel_integration(v: Views) -> DataFrame:
-    own = v.contracts.filter("is_interface").select(F.col("name").alias("contract"))
-    return v.functions.join(F.broadcast(own), "contract").groupBy(F.col("contract").alias("name")).agg(F.count("*").alias("n"))
-
-
-@query("graph_search", "functions", "SELECT id FROM functions WHERE contains(lower(id), 'china') OR contains(lower(name), 'china')")
+@query("graph_search", "functions", "SELECT id FROM functions WHERE contains(lower(id), 'nation_1') OR contains(lower(name), 'nation_1')")
 def graph_search(v: Views) -> DataFrame:
-    return v.functions.filter(F.lower("id").contains("china") | F.lower("name").contains("china")).select("id")
+    return v.functions.filter(F.lower("id").contains("nation_1") | F.lower("name").contains("nation_1")).select("id")
 
 
-@query("graph_facets", "functions edges", f"SELECT id FROM functions WHERE {_OPEN} AND contract = 'CHINA' AND id IN (SELECT src FROM edges WHERE type = 'EXTERNAL_CALL')")
+@query("graph_facets", "functions edges", f"SELECT id FROM functions WHERE {_OPEN} AND contract IN ('NATION_7', 'NATION_0', 'NATION_17', 'NATION_3', 'NATION_10', 'NATION_24') AND id IN (SELECT src FROM edges WHERE type = 'EXTERNAL_CALL')")
 def graph_facets(v: Views) -> DataFrame:
     callers = v.edges.filter(G.kind("EXTERNAL_CALL")).select(F.col("src").alias("id")).distinct()
-    return G.unrestricted(v.functions).filter("contract = 'CHINA'").join(callers, "id", "left_semi").select("id")
+    return G.unrestricted(v.functions).filter("contract IN ('NATION_7', 'NATION_0', 'NATION_17', 'NATION_3', 'NATION_10', 'NATION_24')").join(callers, "id", "left_semi").select("id")
 
 
 @query("state_flow", "edges", "SELECT dst AS var, count(*) FILTER (type = 'READS') AS readers_only, count(*) FILTER (type = 'WRITES') AS writers FROM edges WHERE type IN ('READS', 'WRITES') GROUP BY 1")

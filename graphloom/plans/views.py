@@ -15,6 +15,10 @@ VISIBILITY = ("external", "public", "internal", "private")
 MUTABILITY = ("nonpayable", "payable", "view", "pure", "nonpayable")
 CHAIN_CATEGORIES = ("Reentrancy", "Oracle/Randomness", "Access Control", "External Call", "Accounting", "Governance", "Gas/DoS", "Proxy", "Cross-Chain")
 
+FUNCTION_NAMES = ("deposit", "withdrawAll", "setOraclePrice", "pauseMarket", "upgradeTo", "initialize", "permitSpend", "verifySig", "swapExact", "claimReward", "onERC721Received", "lzReceive", "multicall", "setTrustedForwarder", "overrideDuration", "computeFee", "getRate", "batchTransfer", "ecrecoverCheck", "settleRound", "setFeed", "owner", "name", "loopAll")
+VARIABLE_NAMES = ("totalSupply", "oracleFeed", "maxCap", "rewardRate", "status", "lockupPeriod", "trustedForwarder", "overrideFees", "baseFees", "owner", "treasuryVault", "nonceSeed", "poolBalance")
+VARIABLE_TYPES = ("mapping(address => uint256)", "uint256", "IPool", "enum Phase", "IERC20", "mapping(uint256 => address)", "ILocal[]")
+
 
 def pick(n: Column, values: tuple) -> Column:
     """The value with the number n modulo their count."""
@@ -83,6 +87,18 @@ class Views:
         named = brands.select("p_brand", number.alias("k")).join(F.broadcast(self.table("nation")), F.col("k") % 25 == F.col("n_nationkey"))
         return named.select(F.concat(F.lit("var:"), "p_brand").alias("id"), F.col("p_brand").alias("name"), F.col("n_name").alias("contract"), (F.col("k") % 5 == 0).alias("is_constant"), F.when(F.col("k") % 2 == 0, "mapping(address => uint256)").otherwise("uint256").alias("var_type"))
 
+    @cached_property
+    def named_functions(self) -> DataFrame:
+        """Functions whose names say what they do."""
+        return self.functions.withColumn("name", F.concat(pick(F.col("ord"), FUNCTION_NAMES), F.col("ord").cast("string")))
+
+    @cached_property
+    def named_variables(self) -> DataFrame:
+        """Variables with names and types that say what they hold; one in five contracts."""
+        k = F.regexp_extract("name", r"(\d+)", 1).cast("int")
+        own = self.variables.withColumn("k", k)
+        return own.select("id", F.concat(pick(F.col("k"), VARIABLE_NAMES), F.lit("_"), F.col("k").cast("string")).alias("name"), F.concat(F.lit("C"), (F.col("k") % 5).cast("string")).alias("contract"), (F.col("k") % 11 == 0).alias("is_constant"), pick(F.col("k"), VARIABLE_TYPES).alias("var_type"))
+
     @cached_property
     def data_flow(self) -> DataFrame:
         """(fn, var, type): WRITES beats READS."""
@@ -154,6 +170,9 @@ CTE = {
     "variables": """variables AS (SELECT 'var:' || p_brand AS id, p_brand AS name, n_name AS contract, k % 5 = 0 AS is_constant,
         CASE WHEN k % 2 = 0 THEN 'mapping(address => uint256)' ELSE 'uint256' END AS var_type
         FROM (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS k FROM part) JOIN nation ON k % 25 = n_nationkey)""",
+    "named_functions": f"named_functions AS (SELECT id, {sql_pick('ord', FUNCTION_NAMES)} || ord AS name, contract, visibility, mutability, modifiers, ord, flag FROM functions)",
+    "named_variables": f"""named_variables AS (SELECT id, {sql_pick('k', VARIABLE_NAMES)} || '_' || k AS name, 'C' || (k % 5) AS contract, k % 11 = 0 AS is_constant, {sql_pick('k', VARIABLE_TYPES)} AS var_type
+        FROM (SELECT id, CAST(regexp_extract(name, '(\\d+)', 1) AS INT) AS k FROM variables))""",
     "data_flow": """data_flow AS (SELECT f.id AS src, 'var:' || p_brand AS dst, CASE WHEN bool_or(l_returnflag = 'R' AND l_quantity >= 45) THEN 'WRITES' ELSE 'READS' END AS type
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN functions f ON f.ord = o_custkey GROUP BY 1, 2)""",
     "edges": """edges AS (SELECT src, dst, type, CAST(NULL AS VARCHAR) AS data_source FROM data_flow
@@ -172,7 +191,7 @@ CTE = {
     "rank": "rank AS (SELECT * FROM (VALUES ('Critical', 0), ('High', 1), ('Medium', 2), ('Low', 3), ('Info', 4)) t(severity, rk))",
     "lines": "lines AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL))",
 }
-NEEDS = {"data_flow": ["functions"], "edges": ["functions", "data_flow"], "flags": ["functions"]}
+NEEDS = {"named_functions": ["functions"], "named_variables": ["variables"], "data_flow": ["functions"], "edges": ["functions", "data_flow"], "flags": ["functions"]}
 
 
 def with_views(names: str, body: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Path components that the source-tree scan passes over.
-SKIPPED = ("node_modules", "test", "tests", "mock", "mocks", "lib", "out", "artifacts", "cache", ".git")
+SKIPPED = ("node_modules", "forge-std", "openzeppelin-contracts", "test", "tests", "mock", "mocks", ".git", "artifacts", "cache", "out", "build", "script")
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
