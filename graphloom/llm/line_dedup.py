@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import dropped, mix64, runs, saved, segment_hashes, slices, utf8
+from .common import dropped, mix64, parts, runs, saved, segment_hashes, slices, utf8
 
 RARE, CHAIN, MIN_WORDS = 6, 1024, 8
 LINE = np.dtype([("h", "<u8"), ("w", "<u4")])
@@ -196,6 +196,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     shared = saved(held.groupBy("h").agg(F.count("*").alias("n"), F.min(me).alias("first")).filter("n > 1"), "shared")
     holders = held.join(shared, "h").select("h", "n", "first", me.alias("later"))
     chain = holders.filter(F.col("n") > RARE).withColumn("chain", F.pmod(F.xxhash64("later", "h"), F.ceil(F.col("n") / CHAIN)))
+    chain = chain.repartition(parts(docs.sparkSession), "h", "chain")  # else the chains of a line would share its task
     chain = chain.withColumn("earlier", F.lag("later").over(Window.partitionBy("h", "chain").orderBy("later")))
     heads = chain.filter("earlier is null").select("h", "later").withColumn("earlier", F.lag("later").over(Window.partitionBy("h").orderBy("later")))
     often = chain.select("later", "earlier").union(heads.select("later", "earlier")).filter("earlier is not null")
