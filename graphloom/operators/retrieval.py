@@ -90,11 +90,13 @@ def boost(query_text: str) -> Column:
 def similar_pairs(chunks: DataFrame, threshold: float, k: int = 3) -> DataFrame:
     """Pairs (a < b) of chunks with shingle Jaccard of threshold or more: (a, b, similarity).
 
-    Shingles are joined by hash on the part of each set that two similar sets must share: of n shingles in hash order
+    Needs a checkpoint folder. Shingles are joined by hash on the part of each set that two similar sets must share: of n shingles in hash order
     the first n - ceil(threshold n) + 1. Pairs that meet there are compared whole."""
-    sets = chunks.select("chunk_id", T.shingles("chunk_text", k).alias("s")).filter(F.size("s") > 0)
-    hashed = F.array_sort(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x))))
-    head = F.transform(F.array(hashed), lambda h: F.slice(h, 1, F.size(h) - F.ceil(F.lit(threshold) * F.size(h)).cast("int") + 1))[0]
+    words = T.shingles("chunk_text", k)
+    hashed = F.array_sort(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))))
+    # sets are made once, as hashes of 64 bits, and read three times
+    sets = chunks.select("chunk_id", hashed.alias("s")).filter(F.size("s") > 0).checkpoint()
+    head = F.slice("s", 1, F.size("s") - F.ceil(F.lit(threshold) * F.size("s")).cast("int") + 1)
     keys = sets.select("chunk_id", F.size("s").alias("n"), F.explode(head).alias("h"))
     a, b = keys.alias("a"), keys.alias("b")
     near = f"a.h = b.h and a.chunk_id < b.chunk_id and least(a.n, b.n) >= {threshold} * greatest(a.n, b.n)"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,24 @@ PATTERNS = (
 )
 
 
-def pattern_flags(text: Column) -> Column:
-    """All flags whose pattern occurs, as one array: the text is read once per pattern and never multiplied."""
+def _occurs(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern of plain alternatives occurs. Words that an alternative needs are looked for first, which is
+    much cheaper than matching and rules most texts out."""
+    fold = pattern.startswith("(?i)")
+    found = None
+    for alt in pattern.removeprefix("(?i)").split("|"):
+        words = re.findall("[A-Za-z0-9_]+", re.sub(r"\\[a-z]", " ", alt))
+        hit = reduce(lambda x, y: x & y, [low.contains(w.lower()) if fold else text.contains(w) for w in words])
+        if fold or words != [alt]:
+            hit &= text.rlike(("(?i)" if fold else "") + alt)
+        found = hit if found is None else found | hit
+    return found
+
+
+def pattern_flags(text: Column, low: Column) -> Column:
+    """All flags whose pattern occurs in a text, given with its lower case, as one array."""
     none = F.lit(None).cast("string")
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(f)).otherwise(none) for f, p in PATTERNS)))
+    return F.array_compact(F.array(*(F.when(_occurs(text, low, p), F.lit(f)).otherwise(none) for f, p in PATTERNS)))
 
 
 def frame_flag(lines: DataFrame, group: str, order: str, cond: Column, lo: int, hi: int) -> DataFrame:

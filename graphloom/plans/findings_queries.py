@@ -189,10 +189,19 @@ def sliding_60s(v: Views) -> DataFrame:
     return usage.sliding_usage(v.table("events"), "user_id", "ts", "value").select("event_id", "used", F.round("total", 4).alias("total"))
 
 
-@query("rate_admission")
+@query(
+    "rate_admission",
+    sql="""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_id % 50 AS i, event_id % 7 AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rk FROM events),
+    step AS (SELECT user_id, CAST(0 AS BIGINT) AS rk, CAST(NULL AS BIGINT) AS event_id, false AS admitted, CAST([] AS STRUCT(t BIGINT, i BIGINT, o BIGINT)[]) AS held FROM e GROUP BY user_id
+        UNION ALL SELECT user_id, rk, event_id, ok, CASE WHEN ok THEN list_append(live, {'t': t, 'i': i, 'o': o}) ELSE live END
+        FROM (SELECT *, len(live) + 1 <= 4 AND coalesce(list_sum(list_transform(live, lambda x: x.i)), 0) + i <= 90 AND coalesce(list_sum(list_transform(live, lambda x: x.o)), 0) + o <= 13 AS ok
+            FROM (SELECT e.*, list_filter(step.held, lambda x: x.t > e.t - 60000000) AS live FROM step JOIN e ON e.user_id = step.user_id AND e.rk = step.rk + 1)))
+    SELECT event_id, user_id, admitted FROM step WHERE rk > 0""",
+)
 def rate_admission(v: Views) -> DataFrame:
-    """Requests in order of time, each admitted if its budget of the last minute is not used up."""
-    return usage.admit(v.table("events").select("event_id", "user_id", "ts", "value"))
+    """Requests in order of time, each admitted if its budgets of the last minute are not used up: 4, 90 and 13 here."""
+    k = F.col("event_id")
+    return usage.admit(v.table("events").select("event_id", "user_id", "ts", (k % 50).alias("tokens_in"), (k % 7).alias("tokens_out")), 5, 100, 15)
 
 
 @query("reservation_fold", sql="SELECT user_id, event_type AS reservation, max_by(value, event_id) AS last_value FROM events GROUP BY 1, 2")

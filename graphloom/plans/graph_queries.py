@@ -109,13 +109,15 @@ _PAIRS = """SELECT w.src AS a, t.src AS b, count(*) AS n_vars FROM edges w JOIN
 
 @query("shared_state_pairs", "functions edges", _PAIRS)
 def shared_state_pairs(v: Views) -> DataFrame:
-    return G.shared_state_pairs(v.functions, v.edges)
+    _checkpoints(v)
+    return G.shared_state_pairs(v.functions, v.edges.checkpoint())
 
 
 @query("sel_reentrancy", "functions edges", f"SELECT a, count(*) AS n_pairs, CAST(sum(n_vars) AS BIGINT) AS n_vars FROM ({_PAIRS}) JOIN functions f ON f.id = a WHERE NOT list_contains(f.modifiers, 'nonReentrant') GROUP BY 1")
 def sel_reentrancy(v: Views) -> DataFrame:
     bare = v.functions.filter(~F.exists("modifiers", lambda m: F.lower(m).contains("reentran"))).select(F.col("id").alias("a"))
-    return G.shared_state_pairs(v.functions, v.edges).join(bare, "a", "left_semi").groupBy("a").agg(F.count("*").alias("n_pairs"), F.sum("n_vars").alias("n_vars"))
+    _checkpoints(v)
+    return G.shared_state_pairs(v.functions, v.edges.checkpoint()).join(bare, "a", "left_semi").groupBy("a").agg(F.count("*").alias("n_pairs"), F.sum("n_vars").alias("n_vars"))
 
 
 @query(
@@ -207,6 +209,14 @@ def shortest_path_len(v: Views) -> DataFrame:
     return G.reach(v.edges.filter(G.kind("CALLS")), start, 8).join(v.functions.filter("visibility = 'external'").select("id"), "id", "left_semi")
 
 
+@query("shortest_path_any", "functions edges", "WITH r AS (SELECT id, 0 AS depth FROM functions WHERE ord = 1 UNION SELECT e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.id WHERE depth < 6) SELECT id, min(depth) AS depth FROM r WHERE NOT starts_with(id, 'fn:') GROUP BY 1")
+def shortest_path_any(v: Views) -> DataFrame:
+    """Unweighted distances over edges of all types, to everything that is no function."""
+    _checkpoints(v)
+    start = v.functions.filter("ord = 1").first()["id"]
+    return G.reach(v.edges, start, 6).filter(~F.col("id").startswith("fn:"))
+
+
 @query("trace_chain", "functions edges", f"WITH {_CHAIN.format(8)}, n AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1) SELECT n.id, e.dst, e.type FROM n JOIN edges e ON e.src = n.id AND e.type <> 'BELONGS_TO'")
 def trace_chain(v: Views) -> DataFrame:
     _checkpoints(v)
@@ -307,10 +317,15 @@ def sel_economic(v: Views) -> DataFrame:
     return G.real(v.functions, v.contracts).join(every, "id", "left_semi").select("id")
 
 
-@query("neighbour_expand", "edges", "SELECT DISTINCT e.dst AS var, o.src AS fn FROM edges e JOIN edges o ON o.dst = e.dst AND o.type IN ('READS', 'WRITES') WHERE e.type IN ('READS', 'WRITES') AND e.src IN (SELECT src FROM edges WHERE type = 'TOKEN_FLOW') AND e.dst LIKE '%5_'")
+_VALUE = "oracle|price|rate|balance|supply|total|reserve|share|asset|debt|collateral|fee|reward|stake|deposit|withdraw|amount|value"
+
+
+@query("neighbour_expand", "named_variables edges", f"SELECT DISTINCT e.dst AS var, o.src AS fn FROM edges e JOIN named_variables v ON v.id = e.dst AND regexp_matches(lower(v.name), '{_VALUE}') JOIN edges o ON o.dst = e.dst AND o.type IN ('READS', 'WRITES') WHERE e.type IN ('READS', 'WRITES') AND e.src IN (SELECT src FROM edges WHERE type = 'TOKEN_FLOW' AND dst = 'token:5')")
 def neighbour_expand(v: Views) -> DataFrame:
-    flow = v.edges.filter(F.col("type").isin("READS", "WRITES") & F.col("dst").rlike("5.$")).select("src", "dst")
-    value = v.edges.filter(G.kind("TOKEN_FLOW")).select("src").distinct()
+    """One pass: variables of value that the movers of one token touch, with all that read or write them."""
+    own = v.named_variables.filter(F.lower("name").rlike(_VALUE)).select(F.col("id").alias("dst"))
+    flow = v.edges.filter(F.col("type").isin("READS", "WRITES")).join(own, "dst", "left_semi").select("src", "dst")
+    value = v.edges.filter(G.kind("TOKEN_FLOW") & (F.col("dst") == "token:5")).select("src").distinct()
     touched = flow.join(value, "src", "left_semi").select("dst").distinct()
     return flow.join(touched, "dst", "left_semi").select(F.col("dst").alias("var"), F.col("src").alias("fn")).distinct()
 

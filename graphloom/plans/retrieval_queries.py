@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import budget, retrieval as R
+from ..operators import budget, pipelines as P, retrieval as R
 from .registry import query
-from .views import Views
+from .views import Views, pick, sql_pick
 
 TERMS = ["the", "of"]
 TEXT = "reentrancy in the withdraw function of a vault with a price oracle"
@@ -78,9 +78,12 @@ def metadata_boost(v: Views) -> DataFrame:
     return v.chunks.select("chunk_id", F.round(R.boost(TEXT), 9).alias("boost"))
 
 
-@query("inferred_tags", sql="SELECT doc_id, CASE WHEN lower(text) LIKE '%loop%' OR lower(text) LIKE '%gas%' OR lower(text) LIKE '%dos%' OR lower(text) LIKE '%unbounded%' THEN true ELSE false END AS gas FROM documents")
+_QUERIES = ("a reentrant call", "price feed", "admin power", "gas in a loop", "nothing", "timelock Owner", "delegatecall use", "rounding of a share")
+
+
+@query("inferred_tags", sql=f"""SELECT doc_id, {sql_pick('doc_id', ('reentrancy,reentrant,nonreentrant', 'oracle,price,twap,chainlink,flash_loan', 'access_control,onlyowner,admin,permission,governance,timelock,owner', 'gas,dos,loop,unbounded', '', 'governance,timelock,owner,admin', 'external_call,arbitrary_call,delegatecall', 'accounting,invariant,balance,share,rounding'))} AS tags FROM documents""")
 def inferred_tags(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.array_contains(T.inferred_tags("text"), "unbounded").alias("gas"))
+    return v.table("documents").select("doc_id", F.array_join(T.inferred_tags(pick(F.col("doc_id"), _QUERIES)), ",").alias("tags"))
 
 
 _SHINGLES = """s AS (SELECT doc_id, CASE WHEN len(w) < 3 THEN list_distinct(w) ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
@@ -97,7 +100,8 @@ def shingles(v: Views) -> DataFrame:
 
 @query("jaccard_pairs", sql=f"WITH {_PAIRS} SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
 def jaccard_pairs(v: Views) -> DataFrame:
-    return R.similar_pairs(v.chunks, R.NEAR).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    _checkpoints(v)
+    return R.similar_pairs(v.spread(v.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))), R.NEAR).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query(
@@ -115,12 +119,15 @@ def near_dedup_greedy(v: Views) -> DataFrame:
 
 
 def _checkpoints(v: Views) -> None:
-    """Where checkpoints go: what the session says, else a temporary folder of a single-JVM session."""
+    """Where checkpoints go: what the session says. Only a single-JVM session may fall back to a temporary folder."""
     sc = v.spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        sc.setCheckpointDir(v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = v.spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
 
 
 @query(
@@ -196,3 +203,43 @@ def code_similar(v: Views) -> DataFrame:
 )
 def rerank_port(v: Views) -> DataFrame:
     return v.chunks.select("chunk_id", F.round(R.overlap_rerank(TEXT), 9).alias("rerank_score")).orderBy(F.desc("rerank_score"), "chunk_id").limit(40)
+
+
+_RESORTED = f"""{_FUSED}, b AS (SELECT top.chunk_id, chunk_text, position, row_number() OVER (ORDER BY round(rrf_score * {_BOOST}, 9) DESC, position) AS rk FROM top JOIN chunks USING (chunk_id))"""
+
+
+@query("boosted_order", "chunks q", f"WITH {_RESORTED} SELECT chunk_id, position, rk FROM b")
+def boosted_order(v: Views) -> DataFrame:
+    """The fused list after the boosts, sorted anew."""
+    return P.boosted(v.chunks, R.hybrid(v.chunks, v.query_vector(), TERMS, TOP), TEXT).select("chunk_id", "position", "rk")
+
+
+@query(
+    "pattern_retrieval",
+    "chunks q",
+    f"""WITH {_RESORTED}, w AS (SELECT chunk_id, rk, regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+') AS w, list_distinct(regexp_extract_all(lower('{TEXT}'), '[\\p{{L}}\\p{{N}}_]+')) AS q FROM b),
+    sh AS (SELECT chunk_id, rk, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s, len(list_intersect(q, w)) / len(q) AS score FROM w),
+    pr AS (SELECT x.rk AS a, y.rk AS b FROM sh x JOIN sh y ON x.rk < y.rk AND len(list_intersect(x.s, y.s)) >= 0.92 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+    step AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS kept UNION ALL
+        SELECT step.rk + 1, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.b = step.rk + 1 AND list_contains(step.kept, pr.a)) THEN step.kept ELSE list_append(step.kept, step.rk + 1) END FROM step WHERE step.rk < {TOP})
+    SELECT chunk_id, round(score, 9) AS rerank_score, row_number() OVER (ORDER BY round(score, 9) DESC, rk) AS place FROM sh WHERE list_contains((SELECT kept FROM step WHERE rk = {TOP}), rk) QUALIFY place <= 6""",
+)
+def pattern_retrieval(v: Views) -> DataFrame:
+    """Hybrid list, boosts, near-duplicate removal, rerank, cut. Each of the ten has three words at least."""
+    _checkpoints(v)
+    return P.retrieve(v.chunks, v.query_vector(), TERMS, TEXT, 6, fetch=TOP).select("chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "place")
+
+
+@query("rag_context")
+def rag_context(v: Views) -> DataFrame:
+    """The whole context: patterns, methodology and protocol chunks in one budget."""
+    _checkpoints(v)
+    wanted = (("bug_pattern", 8, True), ("audit_methodology", 4, False), ("protocol", 4, False))
+    q = v.query_vector()
+    return P.context([P.retrieve(v.chunks, q, TERMS, TEXT, k, category=c, rerank=rerank) for c, k, rerank in wanted])
+
+
+@query("adaptive_budget", "chunks", "SELECT chunk_id, CASE WHEN length(chunk_text) + 5000 > 10000 THEN 6000 ELSE 12000 END AS budget FROM chunks WHERE chunk_text IS NOT NULL")
+def adaptive_budget(v: Views) -> DataFrame:
+    half, whole = (P.adaptive_budget(R.BUDGET_CHARS, n, 0) for n in (P.LONG_CONTEXT + 1, 0))
+    return v.chunks.filter("chunk_text is not null").select("chunk_id", F.when(F.length("chunk_text") + 5000 > P.LONG_CONTEXT, half).otherwise(whole).alias("budget"))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import graph as G, rules as L
 from ..sources import contracts, markup
 from .registry import query
-from .views import Views
+from .views import Views, pick, sql_pick
 
 
 @query("chunk_fixed", sql="SELECT doc_id, s AS start, length(substr(text, s + 1, 2000)) AS n FROM (SELECT doc_id, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 2000) / 1800.0) AS BIGINT)) * 1800 + 1, 1800)) AS s FROM documents)")
@@ -23,16 +23,6 @@ def doc_counts(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", T.n_words("text").alias("n_words"), F.length("text").cast("long").alias("n_length"))
 
 
-@query("has_code", sql="SELECT doc_id, regexp_matches(text, 'function |mapping\\(|require\\(|uint\\d+') AS a, regexp_matches(text, 'function |mapping\\(|require\\(|emit |\\.sol') AS b, regexp_matches(text, 'function|mapping|require|solidity|\\.sol') AS c FROM documents")
-def has_code(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", *(T.has_code("text", i + 1).alias(n) for i, n in enumerate("abc")))
-
-
-@query("looks_like_code", sql="SELECT item_id, regexp_matches(text, '(?i)\\b(function|contract|mapping|address|uint|int\\d*|bytes\\d*|revert|require|emit|delegatecall|assembly|solidity|modifier|abi\\.encode|msg\\.sender|tx\\.origin)\\b') AS code FROM benchmark")
-def looks_like_code(v: Views) -> DataFrame:
-    return v.table("benchmark").select("item_id", T.looks_like_code("text").alias("code"))
-
-
 @query(
     "parse_amount",
     sql="SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 1000) * 1e6 WHEN 1 THEN (o_orderkey % 1000) * 1e3 WHEN 2 THEN CAST(o_orderkey AS DOUBLE) ELSE 0.0 END AS amount FROM orders",
@@ -59,11 +49,6 @@ def safe_filename(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", T.safe_filename(F.lit("2024-01-01"), F.substring("text", 1, 80)).alias("name"))
 
 
-@query("keyword_classify", sql="SELECT doc_id, CASE WHEN contains(lower(text), 'reentrancy') THEN 'reentrancy' WHEN contains(lower(text), 'oracle') THEN 'oracle' WHEN contains(lower(text), 'governance') THEN 'governance' WHEN contains(lower(text), 'proxy') THEN 'proxy' WHEN contains(lower(text), 'bridge') THEN 'bridge' WHEN contains(lower(text), 'sandwich') THEN 'sandwich' WHEN contains(lower(text), 'inflation') THEN 'inflation' WHEN contains(lower(text), 'donation') THEN 'donation' ELSE 'unknown' END AS primary_key FROM documents")
-def keyword_classify(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", T.attack_tags("text").primary.alias("primary_key"))
-
-
 @query("loss_priority", sql="SELECT o_orderkey, CAST(least(greatest(7 + floor(o_totalprice * 20 / 1e6), 7), 10) AS BIGINT) AS priority FROM orders")
 def loss_priority(v: Views) -> DataFrame:
     return v.table("orders").select("o_orderkey", T.loss_priority(F.col("o_totalprice") * 20).alias("priority"))
@@ -75,18 +60,6 @@ def is_public(v: Views) -> DataFrame:
     return v.table("orders").select("o_orderkey", F.coalesce(F.try_to_timestamp(day) < F.lit("1997-01-01").cast("timestamp"), F.lit(True)).alias("public"))
 
 
-@query("normalize_incident", sql="SELECT event_id, coalesce(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT), -1) AS k, 'unknown' AS title FROM events")
-def normalize_incident(v: Views) -> DataFrame:
-    field = lambda *names: F.coalesce(*(F.get_json_object("props", f"$.{n}") for n in names))
-    return v.table("events").select("event_id", F.coalesce(field("key", "k").try_cast("long"), F.lit(-1)).alias("k"), F.coalesce(field("title", "name"), F.lit("unknown")).alias("title"))
-
-
-@query("param_names", sql="SELECT c_custkey, 'to,amount' AS params, 'user_input' AS taint FROM customer")
-def param_names(v: Views) -> DataFrame:
-    params = T.param_names(F.lit("address to, uint256 amount, bytes calldata"))
-    return v.table("customer").select("c_custkey", F.array_join(params, ",").alias("params"), T.infer_taint(F.lit("to.owner"), params).alias("taint"))
-
-
 @query("sloc", sql="SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' AND NOT starts_with(trim(x, ' '), '//') AND NOT starts_with(trim(x, ' '), '*'))) AS BIGINT) AS sloc FROM documents")
 def sloc(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", T.sloc("text").alias("sloc"))
@@ -174,11 +147,11 @@ def loops_per_function(v: Views) -> DataFrame:
 @query(
     "block_end",
     "lines",
-    """WITH d AS (SELECT doc_id, line_no, sum(length(line) - length(replace(line, '(', '')) - (length(line) - length(replace(line, ')', '')))) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth FROM lines),
+    """WITH d AS (SELECT doc_id, line_no, sum(length(line) - length(replace(line, ',', '')) - (length(line) - length(replace(line, '.', '')))) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth FROM lines),
     s AS (SELECT *, max(depth) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS top FROM d) SELECT doc_id, min(line_no) AS "end" FROM s WHERE top > 0 AND depth <= 0 GROUP BY 1""",
 )
 def block_end(v: Views) -> DataFrame:
-    return L.block_end(v.lines, "doc_id", "line_no", "line")
+    return L.block_end(v.lines, "doc_id", "line_no", "line", ",", ".")
 
 
 @query("line_rule_scan", "lines", "SELECT doc_id, line_no, CASE WHEN contains(line, 'GNU') THEN 'gnu' WHEN contains(line, 'MIT') THEN 'mit' ELSE 'cc' END AS rule FROM lines WHERE regexp_matches(line, 'GNU|MIT|CC BY')")
@@ -198,7 +171,8 @@ _FLAGS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS flag FROM documents WHERE
 
 @query("pattern_scan", sql=f"SELECT flag, count(*) AS n, min(doc_id) AS first_doc FROM ({_FLAGS}) GROUP BY 1")
 def pattern_scan(v: Views) -> DataFrame:
-    hits = v.table("documents").select("doc_id", F.explode(L.pattern_flags(F.col("text"))).alias("flag"))
+    rows = v.spread(v.table("documents").select("doc_id", "text")).withColumn("low", F.lower("text"))
+    hits = rows.select("doc_id", F.explode(L.pattern_flags(F.col("text"), F.col("low"))).alias("flag"))
     return hits.groupBy("flag").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -338,3 +312,76 @@ def scan_sources(v: Views) -> DataFrame:
 
     path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("doc/tests/"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".sol")))
     return v.table("documents").select("doc_id", path.alias("path")).filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+
+
+_CODES = ("function f", "mapping(a => b)", "require(x", "uint256 n", "emit Done", "see A.sol", "solidity", "plain", "requirement", "mapping only")
+_CODED = f"(SELECT doc_id, {sql_pick('doc_id', _CODES)} || ' ' || text AS t FROM documents)"
+
+
+def _coded(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", F.concat(pick(F.col("doc_id"), _CODES), F.lit(" "), "text").alias("t"))
+
+
+@query("has_code", sql=f"SELECT doc_id, regexp_matches(t, 'function |mapping\\(|require\\(|uint\\d+') AS a, regexp_matches(t, 'function |mapping\\(|require\\(|emit |\\.sol') AS b, regexp_matches(t, 'function|mapping|require|solidity|\\.sol') AS c FROM {_CODED}")
+def has_code(v: Views) -> DataFrame:
+    return _coded(v).select("doc_id", *(T.has_code("t", i + 1).alias(n) for i, n in enumerate("abc")))
+
+
+_ASKED = ("where is msg.sender read", "a Contract call", "uint64 overflow", "bytes32 key", "int", "print it", "receive() hook", "fallback() x", "contracts", "tx.origin", "nothing here", "abi.encodePacked", "abi.encode it", "REVERT now")
+
+
+@query("looks_like_code", sql=f"SELECT item_id, t IN ('where is msg.sender read', 'a Contract call', 'bytes32 key', 'int', 'tx.origin', 'abi.encode it', 'REVERT now') AS code FROM (SELECT item_id, {sql_pick('item_id', _ASKED)} AS t FROM benchmark)")
+def looks_like_code(v: Views) -> DataFrame:
+    """The pattern ends at word boundaries, so the two hooks with parentheses match only before a word."""
+    return v.table("benchmark").select("item_id", T.looks_like_code(pick(F.col("item_id"), _ASKED)).alias("code"))
+
+
+_PARAMS = ("address to, uint256 amount", "bytes calldata", "", "uint[] memory ids, address  from", "IPool pool,")
+
+
+@query("param_names", sql=f"""SELECT c_custkey, {sql_pick('c_custkey', ('to,amount', '', '', 'ids,from', 'pool'))} AS params, {sql_pick('c_custkey', ('user_input', 'state', 'state', 'state', 'state'))} AS taint FROM customer""")
+def param_names(v: Views) -> DataFrame:
+    params = T.param_names(pick(F.col("c_custkey"), _PARAMS))
+    return v.table("customer").select("c_custkey", F.array_join(params, ",").alias("params"), T.infer_taint(F.lit("to.owner"), params).alias("taint"))
+
+
+_RAW = ('{"title":"A","date":"d1"}', '{"name":"B","publishedAt":"d2"}', '{"createdAt":"d3"}', '{"title":"","name":"C"}', "{}")
+
+
+@query("normalize_incident", sql=f"SELECT event_id, {sql_pick('event_id', ('A', 'B', 'unknown', 'C', 'unknown'))} AS title, {sql_pick('event_id', ('d1', 'd2', 'd3', 'unknown', 'unknown'))} AS date FROM events")
+def normalize_incident(v: Views) -> DataFrame:
+    """The first key of several names that is not empty, else a default."""
+    raw = pick(F.col("event_id"), _RAW)
+    field = lambda *names: F.coalesce(*(F.nullif(F.get_json_object(raw, f"$.{n}"), F.lit("")) for n in names), F.lit("unknown"))
+    return v.table("events").select("event_id", field("title", "name").alias("title"), field("date", "publishedAt", "createdAt").alias("date"))
+
+
+_TOLD = ("a Reentrancy bug", "flash loan, then oracle", "proxy of a bridge", "donation inflation", "EIP-2771 forwarder", "fee accounting", "nothing known", "integer overflow in governance")
+
+
+@query("keyword_classify", sql=f"""SELECT doc_id, {sql_pick('doc_id', ('reentrancy', 'flash loan', 'proxy', 'inflation', 'eip-2771', 'fee accounting', 'unknown', 'governance'))} AS primary_key,
+    'incident,real_world,high_priority' || {sql_pick('doc_id', (',reentrancy,callback,CEI', ',oracle,flash_loan,price_manipulation,price_feed', ',proxy,upgradeable,cross_chain,bridge', ',defi_math,vault_inflation,erc4626', ',access_control,meta_transaction,eip2771', ',fee_accounting,gross_net', '', ',governance,dao,defi_math,overflow'))} AS tags FROM documents""")
+def keyword_classify(v: Views) -> DataFrame:
+    tags = T.attack_tags(pick(F.col("doc_id"), _TOLD))
+    return v.table("documents").select("doc_id", tags.primary.alias("primary_key"), F.array_join(tags.tags, ",").alias("tags"))
+
+
+@query("reply_arrays", sql="""SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE '[{"role": "' || role || '", "text": "a ] b"}, [1]]' END AS json FROM conversations""")
+def reply_arrays(v: Views) -> DataFrame:
+    """The first array of replies with a fence, a plain fence, brackets in strings, or none; in Arrow batches."""
+    body = F.concat(F.lit('[{"role": "'), "role", F.lit('", "text": "a ] b"}, [1]]'))
+    forms = (F.concat(F.lit("Yes:\n```json\n"), body, F.lit("\n```\n[2]")), F.concat(F.lit("```\n"), body, F.lit("\n```")), F.concat(F.lit("so "), body, F.lit(" and [3]")), F.lit("none here"))
+    reply = F.coalesce(*(F.when(F.col("turn") % 4 == i, f) for i, f in enumerate(forms)))
+    find = F.udf(contracts.json_array, "string", useArrow=True)
+    return v.table("conversations").select("conv_id", "turn", find(reply).alias("json"))
+
+
+_MARKS = ("latestRoundData()", "prevrandao", "requestRandom", "flash  loan", "getReserves", "x.balance", "convertToShares", "ERC6909", "KEEPER_ROLE", "Initializable", "lzReceive", "deadline", "EIP712", "Validator", "quorum", "mulWad", "beforeSwap", "a.call{", "nonReentrant", "allocation", "legacy", "liquidated", "Raffle", "nothing")
+_MARKED = ("ORACLE", "RANDOMNESS_WEAK", "RANDOMNESS_VRF", "FLASH_LOAN", "DEX_INTERACTION", "BALANCE_DEPENDENT", "ERC4626", "MULTI_TOKEN", "SEMI_TRUSTED_ROLE", "PROXY_UPGRADEABLE", "CROSS_CHAIN", "TEMPORAL", "HAS_SIGNATURES", "STAKING", "GOVERNANCE", "MIXED_DECIMALS", "CALLBACK", "LOW_LEVEL_CALL", "REENTRANCY_GUARD", "SHARE_ALLOCATION", "MIGRATION", "LENDING", "LOTTERY", "")
+
+
+@query("pattern_flags", sql=f"SELECT doc_id, {sql_pick('doc_id', _MARKED)} AS flags FROM documents")
+def pattern_flags(v: Views) -> DataFrame:
+    """A text that hits for each of the 23 flags, and one that misses all."""
+    rows = v.table("documents").select("doc_id", pick(F.col("doc_id"), _MARKS).alias("t"))
+    return rows.select("doc_id", F.array_join(L.pattern_flags(F.col("t"), F.lower("t")), ",").alias("flags"))

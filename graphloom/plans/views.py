@@ -40,6 +40,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The rows on all cores, where a small input has fewer splits than there are cores."""
+        n = self.spark.sparkContext.defaultParallelism
+        return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
     @cached_property
     def chunks(self) -> DataFrame:
         d, e = self.table("documents"), self.table("embeddings")
