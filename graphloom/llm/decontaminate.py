@@ -1,9 +1,11 @@
 """Operator 3: benchmark decontamination by pigeonhole edit matching.
 
 Texts are compared in lower case with every run of other characters than letters and digits as one space. An item of
-m characters has an error budget of k = RATE * m edits and is split into k + 1 pieces, of which one at least survives
-any k edits; pieces are found exactly with one automaton, and each hit is verified with Myers' bit-parallel distance
-in the window that the item could fill. Items shorter than SHORT match only exactly, as whole words.
+m characters has an error budget of k = RATE * m edits, but no more than leaves pieces of PIECE characters, and is split
+into k + 1 pieces, of which one at least survives any k edits; pieces are found exactly with one automaton, and each hit
+is verified with Myers' bit-parallel distance in the window that the item could fill. So items under twice PIECE
+characters have a budget of 0, and those shorter than SHORT match only as whole words: an edit more would make other
+words of them. An item that a text holds at several places gives one row, with the nearest place.
 
 Benchmarks go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over the documents for each.
 
