@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Weights of the function scores.
+#: Weights of the function scores, and the flags that call for a trace.
 SCORE = {"ext": 3, "ext_user": 4, "write": 2, "token": 2, "open": 2}
-TRACE_FLAGS = ("AUTOMOBILE", "BUILDING", "MACHINERY")
+TRACE_FLAGS = ("PROXY_UPGRADEABLE", "CROSS_CHAIN", "CALLBACK", "TEMPORAL", "HAS_SIGNATURES", "MIGRATION", "LOW_LEVEL_CALL")
 
 
 def public(f: DataFrame) -> DataFrame:

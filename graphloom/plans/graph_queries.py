@@ -225,37 +225,38 @@ def trace_chain(v: Views) -> DataFrame:
     return v.edges.filter(~G.kind("BELONGS_TO")).join(F.broadcast(seen), F.col("src") == F.col("id")).select("id", "dst", "type")
 
 
-_SCORE = f"""scored AS (SELECT f.id, CAST(CASE WHEN {_REAL} THEN coalesce(w, 0) + CASE WHEN len(modifiers) = 0 THEN 2 ELSE 0 END + 1 ELSE 0 END AS BIGINT) AS score FROM functions f LEFT JOIN
+_SCORE = f"""scored AS (SELECT f.id, CAST(CASE WHEN {_REAL} THEN coalesce(w, 0) + CASE WHEN len(modifiers) = 0 THEN 2 ELSE 0 END + coalesce(nf, 0) ELSE 0 END AS BIGINT) AS score FROM functions f LEFT JOIN (SELECT node_id, count(*) AS nf FROM flags GROUP BY 1) ON node_id = f.id LEFT JOIN
     (SELECT src, sum(CASE type WHEN 'EXTERNAL_CALL' THEN CASE data_source WHEN 'user_input' THEN 4 ELSE 3 END WHEN 'WRITES' THEN 2 WHEN 'TOKEN_FLOW' THEN 2 ELSE 0 END) AS w FROM edges GROUP BY 1) ON src = f.id)"""
 
 
-@query("function_score", "functions contracts edges", f"WITH {_SCORE} SELECT * FROM scored")
+@query("function_score", "functions contracts edges flags", f"WITH {_SCORE} SELECT * FROM scored")
 def function_score(v: Views) -> DataFrame:
     return G.function_score(v.functions, v.contracts, v.edges, v.flags)
 
 
-@query("hot_functions", "functions contracts edges", f"WITH {_SCORE} SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+@query("hot_functions", "functions contracts edges flags", f"WITH {_SCORE} SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 def hot_functions(v: Views) -> DataFrame:
     return function_score(v).filter("score > 0").orderBy(F.desc("score"), "id").limit(20)
 
 
-_TRACE = f"""SELECT f.id, CAST(n_call + 3 * n_ext + n_write + CASE WHEN n_call > 0 THEN 2 ELSE 0 END + CASE WHEN n_ext > 0 THEN 2 ELSE 0 END + CASE WHEN flag IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') THEN 3 ELSE 0 END AS BIGINT) AS score
+_TRACE = f"""SELECT f.id, CAST(n_call + 3 * n_ext + n_write + CASE WHEN n_call > 0 THEN 2 ELSE 0 END + CASE WHEN n_ext > 0 THEN 2 ELSE 0 END + CASE WHEN f.id IN (SELECT node_id FROM flags WHERE flag IN ('PROXY_UPGRADEABLE', 'CROSS_CHAIN', 'CALLBACK', 'TEMPORAL', 'HAS_SIGNATURES', 'MIGRATION', 'LOW_LEVEL_CALL')) THEN 3 ELSE 0 END AS BIGINT) AS score
     FROM functions f JOIN (SELECT src, count(*) FILTER (type = 'CALLS') AS n_call, count(*) FILTER (type = 'EXTERNAL_CALL') AS n_ext, count(*) FILTER (type = 'WRITES') AS n_write FROM edges GROUP BY 1) ON src = f.id WHERE {_REAL}"""
 
 
 def _trace(v: Views) -> DataFrame:
     n = v.edges.groupBy("src").agg(*(F.count_if(G.kind(t)).alias(a) for t, a in (("CALLS", "n_call"), ("EXTERNAL_CALL", "n_ext"), ("WRITES", "n_write"))))
-    rows = G.real(v.functions, v.contracts).join(n, F.col("id") == F.col("src"))
-    score = F.col("n_call") + 3 * F.col("n_ext") + F.col("n_write") + F.when(F.col("n_call") > 0, 2).otherwise(0) + F.when(F.col("n_ext") > 0, 2).otherwise(0) + F.when(F.col("flag").isin(*G.TRACE_FLAGS), 3).otherwise(0)
+    marked = v.flags.filter(F.col("flag").isin(*G.TRACE_FLAGS)).select(F.col("node_id").alias("id"), F.lit(True).alias("marked")).distinct()
+    rows = G.real(v.functions, v.contracts).join(n, F.col("id") == F.col("src")).join(marked, "id", "left")
+    score = F.col("n_call") + 3 * F.col("n_ext") + F.col("n_write") + F.when(F.col("n_call") > 0, 2).otherwise(0) + F.when(F.col("n_ext") > 0, 2).otherwise(0) + F.when(F.col("marked"), 3).otherwise(0)
     return rows.select("id", score.cast("long").alias("score"))
 
 
-@query("trace_score", "functions contracts edges", _TRACE)
+@query("trace_score", "functions contracts edges flags", _TRACE)
 def trace_score(v: Views) -> DataFrame:
     return _trace(v)
 
 
-@query("sel_trace", "functions contracts edges", f"{_TRACE} ORDER BY score DESC, f.id LIMIT 15")
+@query("sel_trace", "functions contracts edges flags", f"{_TRACE} ORDER BY score DESC, f.id LIMIT 15")
 def sel_trace(v: Views) -> DataFrame:
     return _trace(v).orderBy(F.desc("score"), "id").limit(15)
 
@@ -275,20 +276,21 @@ def cross_fn_sharing(v: Views) -> DataFrame:
 
 @query(
     "sel_reasoning",
-    "functions contracts edges",
-    f"SELECT f.id, CAST(3 * coalesce(n_ext, 0) + 2 * coalesce(n_write, 0) + CASE WHEN len(modifiers) = 0 THEN 2 ELSE 0 END + 1 AS BIGINT) AS score FROM functions f LEFT JOIN (SELECT src, count(*) FILTER (type = 'EXTERNAL_CALL') AS n_ext, count(*) FILTER (type = 'WRITES') AS n_write FROM edges GROUP BY 1) ON src = f.id WHERE {_REAL} ORDER BY score DESC, f.id LIMIT 15",
+    "functions contracts edges flags",
+    f"SELECT id, score FROM (SELECT f.id, CAST(3 * coalesce(n_ext, 0) + 2 * coalesce(n_write, 0) + CASE WHEN len(modifiers) = 0 THEN 2 ELSE 0 END + coalesce(nf, 0) AS BIGINT) AS score FROM functions f LEFT JOIN (SELECT src, count(*) FILTER (type = 'EXTERNAL_CALL') AS n_ext, count(*) FILTER (type = 'WRITES') AS n_write FROM edges GROUP BY 1) ON src = f.id LEFT JOIN (SELECT node_id, count(*) AS nf FROM flags GROUP BY 1) ON node_id = f.id WHERE {_REAL}) WHERE score > 0 ORDER BY score DESC, id LIMIT 15",
 )
 def sel_reasoning(v: Views) -> DataFrame:
     w = F.when(G.kind("EXTERNAL_CALL"), 3).when(G.kind("WRITES"), 2).otherwise(0)
-    rows = G.real(v.functions, v.contracts).join(G.out_counts(v.edges, w=w), F.col("id") == F.col("src"), "left")
-    score = F.coalesce("w", F.lit(0)) + F.when(F.size("modifiers") == 0, 2).otherwise(0) + 1
-    return rows.select("id", score.cast("long").alias("score")).orderBy(F.desc("score"), "id").limit(15)
+    n = v.flags.groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("n_flags"))
+    rows = G.real(v.functions, v.contracts).join(G.out_counts(v.edges, w=w), F.col("id") == F.col("src"), "left").join(n, "id", "left")
+    score = F.coalesce("w", F.lit(0)) + F.when(F.size("modifiers") == 0, 2).otherwise(0) + F.coalesce("n_flags", F.lit(0))
+    return rows.select("id", score.cast("long").alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(15)
 
 
-@query("sel_access", "functions contracts edges", f"SELECT id FROM functions WHERE {_OPEN} AND {_REAL} AND (id IN (SELECT src FROM edges WHERE type = 'WRITES') OR flag = 'BUILDING')")
+@query("sel_access", "functions contracts edges flags", f"SELECT id FROM functions WHERE {_OPEN} AND {_REAL} AND (id IN (SELECT src FROM edges WHERE type = 'WRITES') OR id IN (SELECT node_id FROM flags))")
 def sel_access(v: Views) -> DataFrame:
-    writers = v.edges.filter(G.kind("WRITES")).select(F.col("src").alias("id"), F.lit(True).alias("w")).distinct()
-    return G.real(G.unrestricted(v.functions), v.contracts).join(writers, "id", "left").filter(F.coalesce("w", F.lit(False)) | (F.col("flag") == "BUILDING")).select("id")
+    why = v.edges.filter(G.kind("WRITES")).select(F.col("src").alias("id")).union(v.flags.select("node_id")).distinct()
+    return G.real(G.unrestricted(v.functions), v.contracts).join(why, "id", "left_semi").select("id")
 
 
 @query("sel_external", "functions edges", "SELECT e.src, e.dst, e.type, coalesce(e.data_source, '') AS data_source, f.visibility FROM edges e JOIN functions f ON f.id = e.src WHERE e.type IN ('EXTERNAL_CALL', 'TOKEN_FLOW')")

@@ -15,6 +15,7 @@ VISIBILITY = ("external", "public", "internal", "private")
 MUTABILITY = ("nonpayable", "payable", "view", "pure", "nonpayable")
 CHAIN_CATEGORIES = ("Reentrancy", "Oracle/Randomness", "Access Control", "External Call", "Accounting", "Governance", "Gas/DoS", "Proxy", "Cross-Chain")
 
+FLAGS = ("ORACLE", "CROSS_CHAIN", "SEMI_TRUSTED_ROLE", "CALLBACK", "STAKING", "TEMPORAL", "GOVERNANCE", "MIGRATION", "LENDING", "HAS_SIGNATURES", "LOTTERY")
 FUNCTION_NAMES = ("deposit", "withdrawAll", "setOraclePrice", "pauseMarket", "upgradeTo", "initialize", "permitSpend", "verifySig", "swapExact", "claimReward", "onERC721Received", "lzReceive", "multicall", "setTrustedForwarder", "overrideDuration", "computeFee", "getRate", "batchTransfer", "ecrecoverCheck", "settleRound", "setFeed", "owner", "name", "loopAll")
 VARIABLE_NAMES = ("totalSupply", "oracleFeed", "maxCap", "rewardRate", "status", "lockupPeriod", "trustedForwarder", "overrideFees", "baseFees", "owner", "treasuryVault", "nonceSeed", "poolBalance")
 VARIABLE_TYPES = ("mapping(address => uint256)", "uint256", "IPool", "enum Phase", "IERC20", "mapping(uint256 => address)", "ILocal[]")
@@ -76,7 +77,7 @@ class Views:
             pick(key, MUTABILITY).alias("mutability"),
             pick(key, ((), ("onlyOwner",), ("nonReentrant",))).cast("array<string>").alias("modifiers"),
             key.alias("ord"),
-            F.col("c_mktsegment").alias("flag"),
+            pick(key, FLAGS).alias("flag"),
         )
 
     @cached_property
@@ -132,7 +133,10 @@ class Views:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return self.functions.select(F.col("id").alias("node_id"), "flag")
+        """(node_id, flag): none, one or two flags of each function."""
+        k = F.col("ord")
+        own = F.array_compact(F.array(F.when(k % 4 != 3, F.col("flag")), F.when(k % 5 == 0, pick(k * 3 + 1, FLAGS))))
+        return self.functions.select(F.col("id").alias("node_id"), F.explode(F.array_distinct(own)).alias("flag"))
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -170,7 +174,7 @@ CTE = {
     "functions": f"""functions AS (SELECT 'fn:' || n_name || '.' || c_custkey AS id, 'f' || c_custkey AS name, n_name AS contract,
         {sql_pick("c_custkey", VISIBILITY)} AS visibility, {sql_pick("c_custkey", MUTABILITY)} AS mutability,
         CASE c_custkey % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['onlyOwner'] ELSE ['nonReentrant'] END AS modifiers,
-        c_custkey AS ord, c_mktsegment AS flag FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+        c_custkey AS ord, {sql_pick("c_custkey", FLAGS)} AS flag FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
     "contracts": "contracts AS (SELECT 'contract:' || n_name AS id, n_name AS name, n_nationkey % 6 = 5 AS is_interface, n_nationkey % 6 = 4 AS is_library, n_regionkey AS region, CAST(n_nationkey AS BIGINT) AS ord FROM nation)",
     "variables": """variables AS (SELECT 'var:' || p_brand AS id, p_brand AS name, n_name AS contract, k % 5 = 0 AS is_constant,
         CASE WHEN k % 2 = 0 THEN 'mapping(address => uint256)' ELSE 'uint256' END AS var_type
@@ -185,7 +189,7 @@ CTE = {
         UNION ALL SELECT id, 'contract:' || contract, 'BELONGS_TO', NULL FROM functions
         UNION ALL SELECT f.id, 'ext:' || (o_orderkey % 100), 'EXTERNAL_CALL', max(CASE WHEN o_orderkey % 2 = 0 THEN 'user_input' ELSE 'state' END) FROM orders JOIN functions f ON f.ord = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2
         UNION ALL SELECT DISTINCT f.id, 'token:' || (o_orderkey % 7), 'TOKEN_FLOW', CAST(NULL AS VARCHAR) FROM orders JOIN functions f ON f.ord = o_custkey WHERE o_orderstatus = 'P')""",
-    "flags": "flags AS (SELECT id AS node_id, flag FROM functions)",
+    "flags": f"flags AS (SELECT id AS node_id, flag FROM functions WHERE ord % 4 <> 3 UNION SELECT id, {sql_pick('(ord * 3 + 1)', FLAGS)} FROM functions WHERE ord % 5 = 0)",
     "findings": f"""findings AS (SELECT o_orderkey AS id,
         CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Critical' WHEN '2' THEN 'High' WHEN '3' THEN 'Medium' WHEN '4' THEN 'Low' ELSE 'Info' END AS severity,
         {sql_pick("o_orderkey", CHAIN_CATEGORIES)} AS category, n_name || '.' || c_custkey AS location, c_mktsegment AS hunter,
