@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import dropped, mix64, parts, runs, saved, segment_hashes, slices, utf8
 
-RARE, CHAIN, MIN_WORDS = 6, 1024, 8
+RARE, CHAIN, MIN_WORDS = 6, 128, 8
 LINE = np.dtype([("h", "<u8"), ("w", "<u4")])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
