@@ -222,10 +222,11 @@ def boosted_order(v: Views) -> DataFrame:
     pr AS (SELECT x.rk AS a, y.rk AS b FROM sh x JOIN sh y ON x.rk < y.rk AND len(list_intersect(x.s, y.s)) >= 0.92 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
     step AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS kept UNION ALL
         SELECT step.rk + 1, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.b = step.rk + 1 AND list_contains(step.kept, pr.a)) THEN step.kept ELSE list_append(step.kept, step.rk + 1) END FROM step WHERE step.rk < {TOP})
-    SELECT chunk_id, round(score, 9) AS rerank_score, row_number() OVER (ORDER BY round(score, 9) DESC, rk) AS place FROM sh WHERE list_contains((SELECT kept FROM step WHERE rk = {TOP}), rk) QUALIFY place <= 6""",
+    SELECT chunk_id, round(score, 9) AS rerank_score, row_number() OVER (ORDER BY CASE WHEN (SELECT score FROM sh WHERE rk = 1) <> 0 THEN round(score, 9) ELSE 0 END DESC, rk) AS place FROM sh WHERE list_contains((SELECT kept FROM step WHERE rk = {TOP}), rk) QUALIFY place <= 6""",
 )
 def pattern_retrieval(v: Views) -> DataFrame:
-    """Hybrid list, boosts, near-duplicate removal, rerank, cut. Each of the ten has three words at least."""
+    """Hybrid list, boosts, near-duplicate removal, rerank, cut. Each of the ten has three words at least. Without a rerank
+    score of the first, the order before holds."""
     _checkpoints(v)
     return P.retrieve(v.chunks, v.query_vector(), TERMS, TEXT, 6, fetch=TOP).select("chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "place")
 
