@@ -59,10 +59,10 @@ def cut(rows: DataFrame, top_k: int) -> DataFrame:
     return rows.join(F.broadcast(flag)).withColumn("place", place).filter(F.col("place") <= top_k).drop("by_rerank")
 
 
-def retrieve(chunks: DataFrame, vector: list[float], terms: list[str], query: str, top_k: int, category: str | None = None, fetch: int | None = None, port: Reranker | None = None, rerank: bool = True, boost: bool = True, threshold: float = R.NEAR) -> DataFrame:
-    """Hybrid retrieval of one category, boosted, deduplicated, reranked and cut. Needs a checkpoint folder."""
+def retrieve(chunks: DataFrame, vector: list[float], words: str, query: str, top_k: int, category: str | None = None, fetch: int | None = None, port: Reranker | None = None, rerank: bool = True, boost: bool = True, threshold: float = R.NEAR) -> DataFrame:
+    """Hybrid retrieval of one category by a vector and the words of a full-text query, boosted, deduplicated, reranked and cut. Needs a checkpoint folder."""
     own = chunks.filter(R.prefilter(category=category)) if category else chunks
-    top = R.hybrid(own, vector, terms, fetch or fetch_k(top_k))
+    top = R.hybrid(own, vector, words, fetch or fetch_k(top_k))
     rows = boosted(own, top, query) if boost else own.join(F.broadcast(top), "chunk_id").withColumn("rk", F.col("position"))
     rows = deduplicated(rows, threshold)
     if rerank:

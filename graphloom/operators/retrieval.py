@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vector import cosine
+from . import fulltext
 
 #: The constant of Reciprocal Rank Fusion, the over-fetch per list, and the boosts.
 RRF_K, OVERFETCH = 60, 4
@@ -37,17 +38,9 @@ def vector_topk(chunks: DataFrame, column: str | Column, query: list[float], k:
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def fts_topk(chunks: DataFrame, terms: list[str], k: int, where: Column | None = None) -> DataFrame:
-    """The k chunks that contain all terms, by the number of their occurrences: (chunk_id, score)."""
-    rows = chunks.filter(where) if where is not None else chunks
-    # a cheap test on the text comes before it is cut into words
-    for t in terms:
-        rows = rows.filter(F.lower("chunk_text").contains(t))
-    own = rows.select("chunk_id", T.tokens("chunk_text").alias("words"))
-    for t in terms:
-        own = own.filter(F.array_contains("words", t))
-    hits = F.size(F.filter("words", lambda w: w.isin(terms))).cast("double")
-    return own.select("chunk_id", hits.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
+def fts_topk(chunks: DataFrame, text: str, k: int, where: Column | None = None) -> DataFrame:
+    """The k chunks with all lexemes of a query of highest cover density: (chunk_id, score), ties by chunk_id."""
+    return fulltext.search(chunks, text, where).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def ranked(rows: DataFrame, list_no: int) -> DataFrame:
@@ -64,13 +57,25 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return every.groupBy("chunk_id").agg(F.count("*").alias("n_lists"), F.sum(1.0 / (k + F.col("rank"))).alias("rrf_score"), F.min(F.struct("list_no", "rank")).alias("first"))
 
 
-def hybrid(chunks: DataFrame, query: list[float], terms: list[str], top_k: int = 10, where: Column | None = None) -> DataFrame:
+def representatives(lists: list[DataFrame]) -> DataFrame:
+    """(chunk_id, list_no, vector_score, fts_score): of each chunk the row with the largest vector score, the first list's of
+    equal ones. Rows of a list have no score of the other kind, so a chunk found by vector and by words keeps fts_score 0."""
+    every = lists[0]
+    for x in lists[1:]:
+        every = every.unionByName(x)
+    words = F.col("list_no") == len(lists)
+    own = every.select("chunk_id", "list_no", F.when(words, 0.0).otherwise(F.col("score")).alias("vector_score"), F.when(words, F.col("score")).otherwise(0.0).alias("fts_score"))
+    best = F.max_by(F.struct("list_no", "vector_score", "fts_score"), F.struct("vector_score", -F.col("list_no")))
+    return own.groupBy("chunk_id").agg(best.alias("r")).select("chunk_id", "r.*")
+
+
+def hybrid(chunks: DataFrame, query: list[float], text: str, top_k: int = 10, where: Column | None = None) -> DataFrame:
     """Two vector lists and one full-text list, fused and cut to top_k: chunk_id, n_lists, rrf_score, position."""
     n = OVERFETCH * top_k
     lists = [
         ranked(vector_topk(chunks, "embedding_code", query, n, where), 1),
         ranked(vector_topk(chunks, "embedding_text", query, n, where), 2),
-        ranked(fts_topk(chunks, terms, n, where), 3),
+        ranked(fts_topk(chunks, text, n, where), 3),
     ]
     fused = rrf(lists).orderBy(F.desc(F.round("rrf_score", 12)), "first", "chunk_id").limit(top_k)
     place = F.row_number().over(Window.orderBy(F.desc(F.round("rrf_score", 12)), "first", "chunk_id"))

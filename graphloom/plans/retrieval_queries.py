@@ -10,17 +10,16 @@ from ..operators import budget, pipelines as P, retrieval as R
 from .registry import query
 from .views import Views, pick, sql_pick
 
-TERMS = ["the", "of"]
+FTS_TEXT = "the haing of the eaing"
 TEXT = "reentrancy in the withdraw function of a vault with a price oracle"
 TOP = 10
-_FTS = """(SELECT chunk_id, CAST(len(list_filter(w, lambda x: x IN ('the', 'of'))) AS DOUBLE) AS score
-    FROM (SELECT chunk_id, regexp_extract_all(lower(chunk_text), '[\\p{L}\\p{N}_]+') AS w FROM chunks) WHERE list_contains(w, 'the') AND list_contains(w, 'of') ORDER BY 2 DESC, 1 LIMIT 40)"""
+_FTS = "(SELECT chunk_id, score FROM fts ORDER BY 2 DESC, 1 LIMIT 40)"
 _VEC = "(SELECT chunk_id, list_cosine_similarity({0}, v) AS score FROM chunks, q WHERE {0} IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 40)"
-_LISTS = f"""lists AS (
-    SELECT chunk_id, 1 AS list_no, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM {_VEC.format("embedding_code")}
-    UNION ALL SELECT chunk_id, 2, row_number() OVER (ORDER BY score DESC, chunk_id) FROM {_VEC.format("embedding_text")}
-    UNION ALL SELECT chunk_id, 3, row_number() OVER (ORDER BY score DESC, chunk_id) FROM {_FTS})"""
-_FUSED = f"""{_LISTS}, fused AS (SELECT chunk_id, count(*) AS n_lists, sum(1.0 / (60 + rank)) AS rrf_score, min(list_no * 1000 + rank) AS first FROM lists GROUP BY 1),
+LISTS = f"""lists AS (
+    SELECT chunk_id, 1 AS list_no, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, score FROM {_VEC.format("embedding_code")}
+    UNION ALL SELECT chunk_id, 2, row_number() OVER (ORDER BY score DESC, chunk_id), score FROM {_VEC.format("embedding_text")}
+    UNION ALL SELECT chunk_id, 3, row_number() OVER (ORDER BY score DESC, chunk_id), score FROM {_FTS})"""
+_FUSED = f"""{LISTS}, fused AS (SELECT chunk_id, count(*) AS n_lists, sum(1.0 / (60 + rank)) AS rrf_score, min(list_no * 1000 + rank) AS first FROM lists GROUP BY 1),
     top AS (SELECT *, row_number() OVER (ORDER BY round(rrf_score, 12) DESC, first, chunk_id) AS position FROM fused QUALIFY position <= {TOP})"""
 _BOOST = """(CASE WHEN has_code THEN 1.30 ELSE 1.0 END
     * CASE category WHEN 'bug_pattern' THEN 1.20 WHEN 'audit_methodology' THEN 1.10 WHEN 'web3_basics' THEN 0.80 ELSE 1.0 END
@@ -53,22 +52,26 @@ def tags_contain_all(v: Views) -> DataFrame:
     return v.chunks.filter(R.prefilter(tags=["oracle", "price"])).select("chunk_id")
 
 
-@query("fts_match", "chunks", f"SELECT * FROM {_FTS}")
+@query("fts_match", "chunks fts_words stems fts", f"SELECT * FROM {_FTS}")
 def fts_match(v: Views) -> DataFrame:
-    return R.fts_topk(v.chunks, TERMS, 40)
+    return R.fts_topk(v.chunks, FTS_TEXT, 40)
 
 
-@query("rrf_fuse", "chunks q", f"WITH {_FUSED} SELECT chunk_id, n_lists, round(rrf_score, 9) AS rrf_score FROM fused")
-def rrf_fuse(v: Views) -> DataFrame:
+def ranked_lists(v: Views) -> list[DataFrame]:
+    """Two vector lists and a full-text list of 40 rows each."""
     q = v.query_vector()
-    lists = [R.ranked(R.vector_topk(v.chunks, "embedding_code", q, 40), 1), R.ranked(R.vector_topk(v.chunks, "embedding_text", q, 40), 2), R.ranked(R.fts_topk(v.chunks, TERMS, 40), 3)]
-    return R.rrf(lists).select("chunk_id", "n_lists", F.round("rrf_score", 9).alias("rrf_score"))
+    return [R.ranked(R.vector_topk(v.chunks, "embedding_code", q, 40), 1), R.ranked(R.vector_topk(v.chunks, "embedding_text", q, 40), 2), R.ranked(R.fts_topk(v.chunks, FTS_TEXT, 40), 3)]
+
 
+@query("rrf_fuse", "chunks q fts_words stems fts", f"WITH {_FUSED} SELECT chunk_id, n_lists, round(rrf_score, 9) AS rrf_score FROM fused")
+def rrf_fuse(v: Views) -> DataFrame:
+    return R.rrf(ranked_lists(v)).select("chunk_id", "n_lists", F.round("rrf_score", 9).alias("rrf_score"))
 
-@query("hybrid_retrieve", "chunks q", f"WITH {_FUSED} SELECT chunk_id, category, n_lists, round(rrf_score, 9) AS rrf_score, round(rrf_score * {_BOOST}, 9) AS boosted_score, position FROM top JOIN chunks USING (chunk_id)")
+
+@query("hybrid_retrieve", "chunks q fts_words stems fts", f"WITH {_FUSED} SELECT chunk_id, category, n_lists, round(rrf_score, 9) AS rrf_score, round(rrf_score * {_BOOST}, 9) AS boosted_score, position FROM top JOIN chunks USING (chunk_id)")
 def hybrid_retrieve(v: Views) -> DataFrame:
     """Flagship: three ranked lists, fused and cut, then boosted."""
-    top = R.hybrid(v.chunks, v.query_vector(), TERMS, TOP)
+    top = R.hybrid(v.chunks, v.query_vector(), FTS_TEXT, TOP)
     rows = v.chunks.join(F.broadcast(top), "chunk_id")  # top has at most TOP rows
     return rows.select("chunk_id", "category", "n_lists", F.round("rrf_score", 9).alias("rrf_score"), F.round(F.col("rrf_score") * R.boost(TEXT), 9).alias("boosted_score"), "position")
 
@@ -208,15 +211,15 @@ def rerank_port(v: Views) -> DataFrame:
 _RESORTED = f"""{_FUSED}, b AS (SELECT top.chunk_id, chunk_text, position, row_number() OVER (ORDER BY round(rrf_score * {_BOOST}, 9) DESC, position) AS rk FROM top JOIN chunks USING (chunk_id))"""
 
 
-@query("boosted_order", "chunks q", f"WITH {_RESORTED} SELECT chunk_id, position, rk FROM b")
+@query("boosted_order", "chunks q fts_words stems fts", f"WITH {_RESORTED} SELECT chunk_id, position, rk FROM b")
 def boosted_order(v: Views) -> DataFrame:
     """The fused list after the boosts, sorted anew."""
-    return P.boosted(v.chunks, R.hybrid(v.chunks, v.query_vector(), TERMS, TOP), TEXT).select("chunk_id", "position", "rk")
+    return P.boosted(v.chunks, R.hybrid(v.chunks, v.query_vector(), FTS_TEXT, TOP), TEXT).select("chunk_id", "position", "rk")
 
 
 @query(
     "pattern_retrieval",
-    "chunks q",
+    "chunks q fts_words stems fts",
     f"""WITH {_RESORTED}, w AS (SELECT chunk_id, rk, regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+') AS w, list_distinct(regexp_extract_all(lower('{TEXT}'), '[\\p{{L}}\\p{{N}}_]+')) AS q FROM b),
     sh AS (SELECT chunk_id, rk, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s, len(list_intersect(q, w)) / len(q) AS score FROM w),
     pr AS (SELECT x.rk AS a, y.rk AS b FROM sh x JOIN sh y ON x.rk < y.rk AND len(list_intersect(x.s, y.s)) >= 0.92 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
@@ -228,7 +231,7 @@ def pattern_retrieval(v: Views) -> DataFrame:
     """Hybrid list, boosts, near-duplicate removal, rerank, cut. Each of the ten has three words at least. Without a rerank
     score of the first, the order before holds."""
     _checkpoints(v)
-    return P.retrieve(v.chunks, v.query_vector(), TERMS, TEXT, 6, fetch=TOP).select("chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "place")
+    return P.retrieve(v.chunks, v.query_vector(), FTS_TEXT, TEXT, 6, fetch=TOP).select("chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "place")
 
 
 @query("rag_context")
@@ -237,7 +240,7 @@ def rag_context(v: Views) -> DataFrame:
     _checkpoints(v)
     wanted = (("bug_pattern", 8, True), ("audit_methodology", 4, False), ("protocol", 4, False))
     q = v.query_vector()
-    return P.context([P.retrieve(v.chunks, q, TERMS, TEXT, k, category=c, rerank=rerank) for c, k, rerank in wanted])
+    return P.context([P.retrieve(v.chunks, q, FTS_TEXT, TEXT, k, category=c, rerank=rerank) for c, k, rerank in wanted])
 
 
 @query("adaptive_budget", "chunks", "SELECT chunk_id, CASE WHEN length(chunk_text) + 5000 > 10000 THEN 6000 ELSE 12000 END AS budget FROM chunks WHERE chunk_text IS NOT NULL")

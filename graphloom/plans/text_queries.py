@@ -296,15 +296,6 @@ def graph_roundtrip(v: Views) -> DataFrame:
     return edges.join(v.functions, F.col("src") == F.col("id")).groupBy("contract").agg(F.count_distinct("id").alias("n_nodes"), F.count("*").alias("n_edges"))
 
 
-@query("fts_cover_rank")
-def fts_cover_rank(v: Views) -> DataFrame:
-    """Cover density of two terms: each minimal cover counts 1 / (1 + words between). Positions alternate, so covers are neighbours."""
-    words = F.filter(F.transform(T.tokens("text"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.w.isin("the", "of"))
-    rows = v.table("documents").select("doc_id", words.alias("hits")).filter(F.size("hits") >= 2)
-    pairs = F.zip_with(F.slice("hits", F.lit(1), F.size("hits") - 1), F.slice("hits", F.lit(2), F.size("hits") - 1), lambda a, b: F.when(a.w != b.w, 1.0 / (b.i - a.i)).otherwise(0.0))
-    return rows.select("doc_id", F.round(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x), 9).alias("rank")).filter("rank > 0")
-
-
 @query("scan_sources", sql="SELECT doc_id, 'doc/' || doc_id || '.sol' AS path FROM documents WHERE doc_id % 5 <> 0")
 def scan_sources(v: Views) -> DataFrame:
     """Paths without skipped folders."""

@@ -200,6 +200,49 @@ CTE = {
     "rank": "rank AS (SELECT * FROM (VALUES ('Critical', 0), ('High', 1), ('Medium', 2), ('Low', 3), ('Info', 4)) t(severity, rk))",
     "lines": "lines AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL))",
 }
+# the English stemmer step by step over distinct words, and cover density of the two lexemes `ha` and `ea` by windows
+_STOP = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+_ONE = "[^aeiouy]*[aeiouy]+[^aeiouy]"
+_SHORT = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+
+def _sql_ends(region: str, *pairs: tuple[str, str]) -> str:
+    """WHEN branches that replace an ending of w where it stands in a region; the first ending that w has decides."""
+    return " ".join(f"WHEN suffix(w, '{e}') THEN CASE WHEN length(w) - {len(e)} >= {region} THEN left(w, length(w) - {len(e)}) || '{to}' ELSE w END" for e, to in pairs)
+
+
+_SQL_2 = _sql_ends("r1", ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"))
+_SQL_3 = _sql_ends("r1", ("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic")) + " " + _sql_ends("r2", ("ative", "")) + " " + _sql_ends("r1", ("ical", "ic"), ("ness", ""), ("ful", ""))
+_SQL_4 = _sql_ends("r2", *((e, "") for e in ("ement", "ance", "ence", "able", "ible", "ment"))) + " WHEN suffix(w, 'ion') THEN CASE WHEN length(w) - 3 >= r2 AND regexp_matches(w, '[st]ion$') THEN left(w, length(w) - 3) ELSE w END " + _sql_ends("r2", *((e, "") for e in ("ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic")))
+CTE["fts_words"] = f"""fts_words AS (SELECT chunk_id, pos, w[pos] AS word FROM (SELECT chunk_id, w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT chunk_id, regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM chunks))
+    WHERE w[pos] NOT IN ({", ".join(f"'{x}'" for x in _STOP.split())}))"""
+CTE["stems"] = f"""
+    stem_0 AS (SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM (SELECT DISTINCT word FROM fts_words)),
+    stem_r AS (SELECT *, coalesce(nullif(length(regexp_extract(w, '^(gener|commun|arsen|{_ONE})')), 0), length(w)) AS r1, coalesce(nullif(length(regexp_extract(w, '^(gener|commun|arsen|{_ONE}){_ONE}')), 0), length(w)) AS r2 FROM stem_0),
+    stem_1a AS (SELECT word, r1, r2, CASE WHEN suffix(w, 'sses') THEN left(w, length(w) - 2)
+        WHEN suffix(w, 'ied') OR suffix(w, 'ies') THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+        WHEN suffix(w, 'us') OR suffix(w, 'ss') THEN w WHEN regexp_matches(w, '[aeiouy].+s$') THEN left(w, length(w) - 1) ELSE w END AS w FROM stem_r),
+    stem_cut AS (SELECT *, w IN ('inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed') AS ended,
+        CASE WHEN suffix(w, 'eedly') THEN 0 WHEN suffix(w, 'eed') THEN 0 WHEN suffix(w, 'ingly') THEN 5 WHEN suffix(w, 'edly') THEN 4 WHEN suffix(w, 'ing') THEN 3 WHEN suffix(w, 'ed') THEN 2 ELSE 0 END AS gone FROM stem_1a),
+    stem_1b AS (SELECT word, r1, r2, ended, CASE WHEN ended THEN w
+        WHEN gone = 0 THEN regexp_replace(w, CASE WHEN length(w) - CASE WHEN suffix(w, 'eedly') THEN 5 ELSE 3 END >= r1 THEN 'eed(ly)?$' ELSE '^$' END, 'ee')
+        WHEN NOT regexp_matches(x, '[aeiouy]') THEN w WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e' WHEN regexp_matches(x, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(x, length(x) - 1)
+        WHEN regexp_matches(x, '{_SHORT}') AND length(x) <= r1 THEN x || 'e' ELSE x END AS w FROM (SELECT *, left(w, length(w) - gone) AS x FROM stem_cut)),
+    stem_1c AS (SELECT * REPLACE (CASE WHEN ended THEN w ELSE regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i') END AS w) FROM stem_1b),
+    stem_2 AS (SELECT * REPLACE (CASE WHEN ended THEN w {_SQL_2} WHEN suffix(w, 'ogi') THEN CASE WHEN suffix(w, 'logi') AND length(w) - 3 >= r1 THEN left(w, length(w) - 1) ELSE w END
+        WHEN suffix(w, 'li') AND length(w) - 2 >= r1 THEN regexp_replace(w, '([cdeghkmnrt])li$', '\\1') ELSE w END AS w) FROM stem_1c),
+    stem_3 AS (SELECT * REPLACE (CASE WHEN ended THEN w {_SQL_3} ELSE w END AS w) FROM stem_2),
+    stem_4 AS (SELECT * REPLACE (CASE WHEN ended THEN w {_SQL_4} ELSE w END AS w) FROM stem_3),
+    stem_5 AS (SELECT * REPLACE (CASE WHEN ended THEN w WHEN suffix(w, 'e') AND (length(w) > r2 OR length(w) > r1 AND NOT regexp_matches(left(w, length(w) - 1), '{_SHORT}')) THEN left(w, length(w) - 1)
+        WHEN suffix(w, 'll') AND length(w) > r2 THEN left(w, length(w) - 1) ELSE w END AS w) FROM stem_4),
+    stems AS (SELECT word, CASE WHEN length(word) <= 2 OR word IN ('sky', 'news', 'howe', 'atlas', 'cosmos', 'bias', 'andes') THEN word
+        ELSE CASE word WHEN 'skis' THEN 'ski' WHEN 'skies' THEN 'sky' WHEN 'dying' THEN 'die' WHEN 'lying' THEN 'lie' WHEN 'tying' THEN 'tie' WHEN 'idly' THEN 'idl' WHEN 'gently' THEN 'gentl' WHEN 'ugly' THEN 'ugli' WHEN 'early' THEN 'earli' WHEN 'only' THEN 'onli' WHEN 'singly' THEN 'singl'
+        ELSE replace(w, 'Y', 'y') END END AS lexeme FROM stem_5)"""
+CTE["fts"] = """
+    fts_hits AS (SELECT chunk_id, pos, lexeme FROM fts_words JOIN stems USING (word) WHERE lexeme IN ('ha', 'ea')),
+    fts_last AS (SELECT chunk_id, pos, row_number() OVER w AS k, max(CASE WHEN lexeme = 'ha' THEN pos END) OVER w AS a, max(CASE WHEN lexeme = 'ea' THEN pos END) OVER w AS b FROM fts_hits WINDOW w AS (PARTITION BY chunk_id ORDER BY pos)),
+    fts_covers AS (SELECT chunk_id, least(a, b) AS p, min(pos) AS q, min(k) AS kq FROM fts_last WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY chunk_id, least(a, b)),
+    fts AS (SELECT c.chunk_id, round(sum(0.1::DOUBLE / (1 + (q - p) - (kq - k))), 9) AS score FROM fts_covers c JOIN fts_last l ON l.chunk_id = c.chunk_id AND l.pos = c.p GROUP BY c.chunk_id)"""
 NEEDS = {"named_functions": ["functions"], "named_variables": ["variables"], "data_flow": ["functions"], "edges": ["functions", "data_flow"], "flags": ["functions"]}
 
 
