@@ -26,11 +26,11 @@ def query_lexemes(spark: SparkSession, text: str) -> list[str]:
 
 
 def beginning(lexeme: str) -> str:
-    """What all words with this stem begin with. Stems are cut from words, but that a last e or i may be new, as the last
-    two letters of `ble` (from `biliti`) and of a few special stems."""
-    if lexeme[-1:] not in ("e", "i", "y"):
-        return lexeme
-    return lexeme[: max(1, len(lexeme) - (2 if lexeme.endswith("ble") or lexeme in SPECIAL.values() else 1))]
+    """What all words with this stem begin with. Stems are cut from words, but that a last e or i may be new, as what comes
+    after the b of `ble` or `bl` (from `biliti`) and the last two letters of a few special stems."""
+    if lexeme.endswith("ble") or lexeme in SPECIAL.values():
+        return lexeme[: max(1, len(lexeme) - 2)]
+    return lexeme[: max(1, len(lexeme) - 1)] if lexeme.endswith(("e", "i", "y", "bl")) else lexeme
 
 
 def places(chunks: DataFrame, lexemes: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G, rules as L
-from ..sources import contracts, markup
+from ..sources import contracts, markup, replies
 from .registry import query
 from .views import Views, pick, sql_pick
 
@@ -261,8 +261,7 @@ def detector_flags(v: Views) -> DataFrame:
 @query("json_from_text", sql="SELECT conv_id, turn, '[\"' || role || '\"]' AS json FROM conversations")
 def json_from_text(v: Views) -> DataFrame:
     text = F.concat(F.lit("I found: ["), F.lit('"'), "role", F.lit('"] and more'))
-    find = F.udf(contracts.json_array, "string", useArrow=True)
-    return v.table("conversations").select("conv_id", "turn", find(text).alias("json"))
+    return v.table("conversations").select("conv_id", "turn", replies.json_array(text).alias("json"))
 
 
 @query("section_tags", sql="SELECT doc_id, array_to_string(list_distinct(['root_cause'] || CASE WHEN contains(lower(text), 'license') THEN ['license', 'root_cause'] ELSE CAST([] AS VARCHAR[]) END), ',') = 'root_cause' AS plain FROM documents")
@@ -359,12 +358,11 @@ def keyword_classify(v: Views) -> DataFrame:
 
 @query("reply_arrays", sql="""SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE '[{"role": "' || role || '", "text": "a ] b"}, [1]]' END AS json FROM conversations""")
 def reply_arrays(v: Views) -> DataFrame:
-    """The first array of replies with a fence, a plain fence, brackets in strings, or none; in Arrow batches."""
+    """The first array of replies with a fence, a plain fence, brackets in strings, or none."""
     body = F.concat(F.lit('[{"role": "'), "role", F.lit('", "text": "a ] b"}, [1]]'))
     forms = (F.concat(F.lit("Yes:\n```json\n"), body, F.lit("\n```\n[2]")), F.concat(F.lit("```\n"), body, F.lit("\n```")), F.concat(F.lit("so "), body, F.lit(" and [3]")), F.lit("none here"))
     reply = F.coalesce(*(F.when(F.col("turn") % 4 == i, f) for i, f in enumerate(forms)))
-    find = F.udf(contracts.json_array, "string", useArrow=True)
-    return v.table("conversations").select("conv_id", "turn", find(reply).alias("json"))
+    return v.table("conversations").select("conv_id", "turn", replies.json_array(reply).alias("json"))
 
 
 _MARKS = ("latestRoundData()", "prevrandao", "requestRandom", "flash  loan", "getReserves", "x.balance", "convertToShares", "ERC6909", "KEEPER_ROLE", "Initializable", "lzReceive", "deadline", "EIP712", "Validator", "quorum", "mulWad", "beforeSwap", "a.call{", "nonReentrant", "allocation", "legacy", "liquidated", "Raffle", "nothing")

@@ -87,26 +87,3 @@ def facts(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame([r for p, t in zip(b["path"], b["content"], strict=True) for r in parse(p, t or "")], columns=names)
 
     return sources.select("path", "content").mapInPandas(run, COLUMNS)
-
-
-def json_array(text: str) -> str | None:
-    """The first JSON array of a reply: in a json fence, in a plain fence, or by balanced brackets outside strings."""
-    for fence in (r"```json\s*(.*?)```", r"```\s*(.*?)```"):
-        m = re.search(fence, text, re.S)
-        if m and m[1].lstrip().startswith("["):
-            return m[1].strip()
-    at = text.find("[")
-    depth, quoted, i = 0, False, at
-    while 0 <= i < len(text):
-        c = text[i]
-        if quoted:
-            i += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[]":
-            depth += 1 if c == "[" else -1
-            if depth == 0:
-                return text[at : i + 1]
-        i += 1
-    return None

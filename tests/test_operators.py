@@ -108,12 +108,6 @@ def test_parser():
     assert contracts.parse("b.sol", "contract C { function f() public { x") != []
 
 
-def test_json_array():
-    assert contracts.json_array('say ```json\n[1, 2]\n``` end') == "[1, 2]"
-    assert contracts.json_array('x [ {"a": "]"}, [1] ] y') == '[ {"a": "]"}, [1] ]'
-    assert contracts.json_array("[1, 2") is None
-
-
 def test_insert_if_absent_twice(spark):
     batch = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
     new = ingest.insert_if_absent(batch.limit(0), batch, ["k"])
