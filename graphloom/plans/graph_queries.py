@@ -222,7 +222,7 @@ def trace_chain(v: Views) -> DataFrame:
     _checkpoints(v)
     start = v.functions.filter("ord = 1").first()["id"]
     seen = G.reach(v.edges.filter(G.kind("CALLS")), start, 8).select("id")
-    return v.edges.filter(~G.kind("BELONGS_TO")).join(F.broadcast(seen), F.col("src") == F.col("id")).select("id", "dst", "type")
+    return v.edges.filter(~G.kind("BELONGS_TO")).join(seen, F.col("src") == F.col("id")).select("id", "dst", "type")
 
 
 _SCORE = f"""scored AS (SELECT f.id, CAST(CASE WHEN {_REAL} THEN coalesce(w, 0) + CASE WHEN len(modifiers) = 0 THEN 2 ELSE 0 END + coalesce(nf, 0) ELSE 0 END AS BIGINT) AS score FROM functions f LEFT JOIN (SELECT node_id, count(*) AS nf FROM flags GROUP BY 1) ON node_id = f.id LEFT JOIN

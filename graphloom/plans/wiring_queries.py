@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import wiring as W
+from ..operators import traversal as T, wiring as W
 from .registry import query
 from .retrieval_queries import _checkpoints
 from .views import CTE, NEEDS, Views
@@ -66,3 +66,34 @@ def points_to(v: Views) -> DataFrame:
     refs = o.select("fn", "ref", F.concat(F.lit("p"), F.col("ref") % 11).alias("name"), F.when(F.col("ref") % 9 > 0, before).alias("points_to"))
     params = v.table("customer").select(F.col("c_custkey").alias("fn"), F.concat(F.lit("p"), F.col("c_custkey") % 23).alias("name"))
     return W.points_to(refs, params)
+
+
+def entries(v: Views) -> DataFrame:
+    return v.functions.filter("visibility in ('external', 'public')").select(F.col("id").alias("root"))
+
+
+@query(
+    "call_chains",
+    "functions fn_calls",
+    """WITH walk(root, id, depth) AS (SELECT id, id, 0 FROM functions WHERE visibility IN ('external', 'public') UNION SELECT w.root, c.dst, w.depth + 1 FROM walk w JOIN fn_calls c ON c.src = w.id WHERE w.depth < 5),
+    a AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS callees FROM fn_calls GROUP BY 1)
+    SELECT root, id, min(depth) AS depth, any_value(callees) AS callees FROM walk JOIN a USING (id) GROUP BY root, id""",
+)
+def call_chains(v: Views) -> DataFrame:
+    """The call chain of every entry point: each function in five calls' reach with its callees."""
+    _checkpoints(v)
+    return T.call_chains(calls(v), entries(v)).withColumn("callees", F.array_join("callees", ","))
+
+
+@query(
+    "shortest_paths",
+    "functions data_flow fn_calls",
+    """WITH e AS (SELECT src, dst FROM fn_calls UNION SELECT src, dst FROM data_flow WHERE type = 'WRITES'),
+    walk(root, id, depth, path) AS (SELECT id, id, 0, [id] FROM functions WHERE visibility IN ('external', 'public') UNION ALL SELECT root, e.dst, depth + 1, list_append(path, e.dst) FROM walk JOIN e ON e.src = id WHERE NOT list_contains(path, e.dst))
+    SELECT root, id, min(depth) AS depth, array_to_string(min(path) FILTER (depth = least_depth), ' > ') AS path FROM (SELECT *, min(depth) OVER (PARTITION BY root, id) AS least_depth FROM walk) GROUP BY root, id HAVING NOT starts_with(id, 'fn:')""",
+)
+def shortest_paths(v: Views) -> DataFrame:
+    """The shortest path of every entry point to every variable that it or its callees write, however long."""
+    _checkpoints(v)
+    edges = calls(v).unionByName(writes(v))
+    return T.reach_all(edges, entries(v)).filter(~F.col("id").startswith("fn:")).withColumn("path", F.array_join("path", " > "))
