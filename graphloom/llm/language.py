@@ -1,7 +1,7 @@
 """Operator 6: language identification by a bidirectional gated recurrent network over bytes.
 
 Trained in numpy by backpropagation through time on a bounded sample of labelled texts (SAMPLE_PER_LANG texts a
-language, one window each). Whole texts are cut into windows of WINDOW bytes, all of which the network reads in both
+language, one window each; short texts and the rest of every text are padded, and padding has no label). Whole texts are cut into windows of WINDOW bytes, all of which the network reads in both
 directions; a softmax labels every byte position and a document's probabilities are the mean over its positions.
 
 Defined results: a null text, or one without a letter, has `und` with score 0; with nothing to learn from (an empty
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SLICE_BYTES, slices, utf8
 
@@ -25,6 +26,8 @@ from .common import SLICE_BYTES, slices, utf8
 SAMPLE_PER_LANG, SAMPLE_CHARS = 400, 384
 #: Network and training.
 HIDDEN, WINDOW, EPOCHS, BATCH, RATE = 6, 64, 4, 256, 0.02
+#: Fewest windows of a step and steps of a training on a small sample.
+LEAST_BATCH, LEAST_STEPS = 16, 160
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -128,24 +131,29 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
     if not langs:
         return None
     rng = np.random.default_rng(seed)
-    windows, target = [], []
+    windows, target, size = [], [], []
     for text, lang in zip(texts, labels, strict=True):
         raw = _FOLD[np.frombuffer(text.encode(), np.uint8)]
-        for i in range(0, len(raw) - WINDOW // 2, WINDOW):
-            windows.append(np.pad(raw[i : i + WINDOW], (0, max(0, i + WINDOW - len(raw))), constant_values=32))
+        for i in range(0, len(raw), WINDOW):
+            own = raw[i : i + WINDOW]
+            windows.append(np.pad(own, (0, WINDOW - len(own)), constant_values=32))
             target.append(langs.index(lang))
+            size.append(len(own))
     if not windows:
         return None
-    data, y, c = np.stack(windows), np.array(target), len(langs)
+    data, y, c, size = np.stack(windows), np.array(target), len(langs), np.array(size)
     m = Model(langs, _direction(rng), _direction(rng), rng.normal(0, 0.3, (2 * HIDDEN, c)).astype(np.float32), np.zeros(c, np.float32))
     weights = [m.forward.table, m.forward.recur, m.forward.bias, m.backward.table, m.backward.recur, m.backward.bias, m.out, m.out_bias]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    share = np.bincount(y, minlength=c) / len(y)
-    weight = (1 / (c * share[y])).astype(np.float32)  # languages count alike
-    for epoch in range(EPOCHS):
+    share = np.bincount(y, size, minlength=c) / size.sum()
+    weight = (1 / (c * np.maximum(share[y], 1e-9))).astype(np.float32)  # the positions of languages count alike
+    # a small sample is read more often, in smaller parts
+    batch = int(np.clip(len(data) // 8, LEAST_BATCH, BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(data) // batch)))
+    for epoch in range(epochs):
         order = rng.permutation(len(data))
-        for i in range(0, len(order), BATCH):
-            pick = order[i : i + BATCH]
+        for i in range(0, len(order), batch):
+            pick = order[i : i + batch]
             x = np.ascontiguousarray(data[pick].T)
             kf: dict = {}
             kb: dict = {}
@@ -154,12 +162,13 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
             p = _softmax(both @ m.out + m.out_bias)
             p[:, np.arange(len(pick)), y[pick]] -= 1
             p *= (weight[pick] / (len(pick) * WINDOW))[None, :, None]
+            p *= (np.arange(WINDOW)[:, None] < size[pick])[:, :, None]  # what pads a window has no language
             dboth = p @ m.out.T
             gf = _back(x, m.forward, hf, kf, dboth[:, :, :HIDDEN])
             gb = _back(x[::-1], m.backward, hb, kb, dboth[::-1, :, HIDDEN:])
             grads = [gf.table, gf.recur, gf.bias, gb.table, gb.recur, gb.bias, both.reshape(-1, 2 * HIDDEN).T @ p.reshape(-1, c), p.sum(axis=(0, 1))]
             step += 1
-            rate = RATE * 0.5**epoch
+            rate = RATE * 0.5 ** (EPOCHS * epoch / epochs)
             for w, g, a, b in zip(weights, grads, first, second, strict=True):  # Adam
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -284,8 +293,8 @@ def _labelled(m: Model | None):
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` with lang_pred and score. The model goes along with the tasks; its size is fixed."""
     rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text"), has_letter(text_col).alias("_letter"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_labelled(model), f"{kinds}, lang_pred string, score double")
+    kinds = T.StructType([*docs.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_labelled(model), kinds)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> F.Column:

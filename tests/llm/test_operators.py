@@ -313,6 +313,13 @@ def test_language_learns_and_knows_nothing_of_no_letters(docs, edge, none):
     assert language.identify_documents(edge).count() == 7
 
 
+def test_languages_of_short_texts_are_learned(docs):
+    rows = [(i, ("the of and", "der und die")[i % 2] + f" {i % 7}", ("en", "de")[i % 2], None) for i in range(80)]
+    rows += [(1000 + i, " ".join(["that is the story of it and more"] * 9) if i % 2 else "un el los que", ("es", "en")[i % 2], None) for i in range(40)]
+    got = {r.doc_id: r.lang_pred for r in language.identify_documents(docs(rows)).collect()}
+    assert sum(got[i] == g for i, _, g, _ in rows) >= 0.95 * len(rows)
+
+
 def test_every_language_is_learned(docs):
     rng = random.Random(24)
     rows = [(3 * k + i, " ".join(rng.choice(WORDS) for _ in range(20)), f"l{k:02d}", None) for k in range(70) for i in range(3)]
