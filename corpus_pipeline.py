@@ -6,7 +6,7 @@ read again before the next one. All stages but the last return the columns of `d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, jaccard, language, line_dedup, packing
@@ -15,14 +15,18 @@ from graphloom.llm.common import saved, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def packed_columns(docs: DataFrame) -> Column:
+    """All columns as one, whatever their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; a text without letters, or null, goes. Learns from the labelled rows of docs, and
     without a model, for want of labels, keeps every text that has a letter."""
     model = language.fit(docs, F.coalesce(~language.held_out(), F.lit(False)))
     if model is None:
         return docs.filter(language.has_letter())
-    keep = docs.columns
-    found = language.identify(docs.withColumn("_keep", F.struct(*keep)), model, ["_keep"])
+    found = language.identify(docs.withColumn("_keep", packed_columns(docs)), model, ["_keep"])
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select("_keep.*")
 
 
@@ -35,9 +39,13 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near duplicates; rows without a doc_id stay."""
-    kept = jaccard.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of each class of near duplicates: that of the smallest doc_id, rows without doc_id last. Rows are told apart
+    by numbers of their own, so that repeated rows and rows without doc_id are compared like all others."""
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), packed_columns(docs).alias("doc")), "rows")
+    found = jaccard.classes(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    own = found.join(rows.select("row", F.col("doc.doc_id").alias("id")), "row")
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select("doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

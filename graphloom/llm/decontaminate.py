@@ -181,6 +181,8 @@ def _without(items: list[tuple[int, str]], at: int):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that contain no item."""
+    # the columns go along as one, whatever their names
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text").cast("string").alias("text"))
     for items in blocks(benchmark):
-        docs = docs.mapInArrow(_without(items, docs.columns.index("text")), docs.schema)
-    return docs
+        rows = rows.mapInArrow(_without(items, 1), rows.schema)
+    return rows.select("doc.*")

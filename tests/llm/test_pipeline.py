@@ -38,3 +38,29 @@ def test_run_equals_stages(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_one_row_of_every_class_stays(docs):
+    # exact copies with one id, with null ids and with other ids; near copies among rows without id; equal ids, other texts
+    text = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
+    near = text[1].replace("x39", "y39")
+    rows = [(1, text[0], None, None)] * 3 + [(None, text[1], None, None), (None, near, None, None), (None, text[1], None, None), (7, near, None, None), (8, text[2], None, None), (8, text[3], None, None), (9, "one", None, None), (4, "one", None, None), (None, text[4], None, None)]
+    own = docs(rows)
+    out = corpus_pipeline.one_of_each_class(own.sparkSession, own, SF)
+    assert out.columns == own.columns
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == sorted([(1, text[0]), (7, near), (8, text[2]), (8, text[3]), (4, "one"), (None, text[4])], key=repr)
+
+
+def test_whole_tables_of_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    once = corpus_pipeline.one_of_each_class(spark, docs, SF).count()
+    assert corpus_pipeline.one_of_each_class(spark, docs.union(docs), SF).count() == once <= 50
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, row long, doc string, id int, first string"
+    docs = spark.createDataFrame([(i, f"word{i} und der die letters of text number {i}", "en", "s", 5, "x", 1, "d", 2, "f") for i in range(12)], kinds)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+        assert stage(spark, empty, SF).count() == 0
