@@ -411,6 +411,45 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert [k for k, _ in packing.best_fit(lengths, sources, clusters, 100)] == [0, 1, 1, 2, 0]
 
 
+def plain_best_fit(lengths, sources, clusters, capacity):
+    """The tightest compatible bin, lowest number first, by looking at all of them."""
+    bins, out = [], []
+    for n, s, c in zip(lengths, sources, clusters, strict=True):
+        fits = [(free, k) for k, (free, of, same) in enumerate(bins) if free >= n and (s is None or s not in of) and (c is None or c not in same)]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append((capacity, set(), set()))
+        free, of, same = bins[k]
+        out.append((k, capacity - free))
+        bins[k] = (free - n, of | {s}, same | {c})
+    return out
+
+
+@pytest.mark.parametrize(("bits", "block"), [(2048, 256), (3, 4), (0, 1)])
+def test_best_fit_equals_a_search_of_all_bins(monkeypatch, bits, block):
+    monkeypatch.setattr(packing, "BITS", bits)
+    monkeypatch.setattr(packing, "BLOCK", block)
+    rng = random.Random(40)
+    lengths = sorted((min(200, int(rng.expovariate(1 / 30)) + 1) for _ in range(2000)), reverse=True)
+    sources = [rng.choice([None, "hot", "hot", *map(str, range(9))]) for _ in lengths]
+    clusters = [rng.choice([None, rng.randrange(40), rng.randrange(4000)]) for _ in lengths]
+    assert packing.best_fit(lengths, sources, clusters, 200) == plain_best_fit(lengths, sources, clusters, 200)
+
+
+def test_best_fit_of_one_source_and_of_lone_sources():
+    import time
+    import tracemalloc
+
+    begun = time.perf_counter()
+    n = [100 - i * 99 // 200_000 for i in range(200_000)]
+    assert len({k for k, _ in packing.best_fit(n, ["a"] * len(n), [None] * len(n))}) == len(n)
+    assert time.perf_counter() - begun < 30  # a search of all bins takes an hour
+    tracemalloc.start()
+    packing.best_fit([20] * 100_000, list(range(100_000)), [None] * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_packing_respects_all_constraints(docs, edge, none):
     rng = random.Random(15)
     rows = [(i, prose(rng, rng.randint(0, 90)) + (" " + prose(rng, 300) if i % 17 == 0 else ""), None, f"s{rng.randint(0, 9)}") for i in range(300)]
