@@ -1,17 +1,20 @@
 """Operator 5: line dedup by pairwise alignment.
 
 Documents that share lines become pairs of a later and an earlier document (by doc_id): a rare line, in RARE documents
-or fewer, pairs each of them with every earlier one; a more frequent line pairs each with the holder before it, in
-chains of about CHAIN holders whose heads are chained in turn, so that pairs grow with the lines and no document meets
-all others. Each pair is aligned by patience diff (lines unique in both anchor the alignment, which is
-then refined between anchors), and aligned common blocks of MIN_WORDS words or more are deleted from the later one.
-
-An exact pass follows for what alignments miss: blocks that are moved or repeated, and frequent lines where the holder
-before lacks the block. Every text gives the hashes of its windows, the shortest runs of lines with MIN_WORDS words
-that start or that end at a line; each window of a later document that an earlier one has as well leaves it. Any common
-block is covered by windows inside it, so a text keeps no block of MIN_WORDS words that an earlier document has. The
-first holder of a block keeps it, with all its copies there. Blocks are those of the given texts, not ones that
-deletions bring together; hashes of 64 bits stand for lines and windows.
+or fewer, pairs each of them with every earlier one. Windows, the shortest runs of lines with MIN_WORDS words that start
+or that end at a line, do the same for blocks of frequent lines only: a window without a rare line pairs each of its
+documents with the holder before it, in chains of about CHAIN holders whose heads are chained in turn, so that pairs
+grow with the lines and no document meets all others.
+
+Each pair is aligned by patience diff (lines unique in both anchor the alignment, which is then refined between
+anchors), and aligned common blocks of MIN_WORDS words or more are deleted from the later one. Where lines are left
+over that the earlier text has too, blocks may be moved or repeated: each stretch of them that both texts have is
+aligned on its own, until none is left. Nothing is deleted but what an alignment gives.
+
+Any common block is covered by windows inside it, and all documents of a window are paired or chained, so a text keeps
+no block of MIN_WORDS words that an earlier document has. The first holder of a block keeps it, with all its copies
+there. Blocks are those of the given texts, not ones that deletions bring together; hashes of 64 bits stand for lines
+and windows.
 
 Defined results: empty lines never count; null and empty texts are left alone; nulls in doc_id come last in the order;
 rows equal in doc_id and text are one document and are treated alike; among rows that share a doc_id alone, a hash of
@@ -70,13 +73,25 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(b.column(2))
         for i, j in slices(offsets):
             own = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            heads, spans = ([np.unique(x).view(np.int64) for x in of] for of in ([x["h"] for x in own], [windows(x)[0] for x in own]))
+            heads = [np.unique(x["h"]).view(np.int64) for x in own]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))],
-                names=["ord", "digest", "lines", "heads", "spans"],
+                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
+                names=["ord", "digest", "lines", "heads"],
             )
 
 
+def _frequent_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (ord, digest, lines, often): hashes of the windows that consist of lines in often."""
+    for b in batches:
+        spans = []
+        for x, often in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            lines = np.frombuffer(x, LINE)
+            h, i, j = windows(lines)
+            other = np.r_[0, np.cumsum(~np.isin(lines["h"], np.array(often, np.int64).view(np.uint64)))]
+            spans.append(np.unique(h[other[i] == other[j]]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int64()))], names=["ord", "digest", "spans"])
+
+
 def increasing(values: list[int]) -> list[int]:
     """Places of a longest increasing subsequence."""
     from bisect import bisect_left
@@ -128,14 +143,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_lines(later: np.ndarray, earlier: np.ndarray, min_words: int = MIN_WORDS) -> list[int]:
-    """Numbers of the later text's lines that lie in aligned blocks of min_words or more."""
-    pairs = patience(later["h"].tolist(), earlier["h"].tolist())
-    words = later["w"].tolist()
+def aligned_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Places in a of the lines in aligned blocks of min_words or more."""
     gone: list[int] = []
     block: list[int] = []
     last = None
-    for i, j in [*pairs, (-9, -9)]:
+    for i, j in [*patience(a, b), (-9, -9)]:
         if last is None or (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[k] for k in block) >= min_words:
                 gone += block
@@ -145,25 +158,42 @@ def common_lines(later: np.ndarray, earlier: np.ndarray, min_words: int = MIN_WO
     return gone
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        gone = [common_lines(np.frombuffer(x, LINE), np.frombuffer(y, LINE)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["ord", "digest", "gone"])
+def left_over(a: list[int], b: list[int], words: list[int], gone: set[int], min_words: int) -> bool:
+    """Whether a run of lines that b has too holds min_words or more, and a line that is not gone."""
+    theirs = set(b)
+    if all(k in gone or h not in theirs for k, h in enumerate(a)):
+        return False
+    total, fresh = 0, False
+    for k, h in enumerate(a):
+        if h in theirs:
+            total, fresh = total + words[k], fresh or k not in gone
+            if fresh and total >= min_words:
+                return True
+        else:
+            total, fresh = 0, False
+    return False
 
 
-def covered(lines: np.ndarray, had: np.ndarray) -> list[int]:
-    """Numbers of a text's lines that lie in windows with one of the given hashes."""
-    h, i, j = windows(lines)
-    hit = np.isin(h, had)
-    depth = np.zeros(len(lines) + 1, np.int64)
-    np.add.at(depth, i[hit], 1)
-    np.add.at(depth, j[hit], -1)
-    return np.flatnonzero(np.cumsum(depth)[:-1]).tolist()
+def common_lines(later: np.ndarray, earlier: np.ndarray, min_words: int = MIN_WORDS) -> list[int]:
+    """Numbers of the later text's lines that lie in aligned blocks of min_words or more: of the whole texts first, then
+    of each stretch that is left and that the earlier text has at another place."""
+    a, b, words = later["h"].tolist(), earlier["h"].tolist(), later["w"].tolist()
+    gone = set(aligned_blocks(a, b, words, min_words))
+    if left_over(a, b, words, gone, min_words):
+        h, i, j = windows(later, min_words)
+        g, x, y = windows(earlier, min_words)
+        place = dict(zip(g.tolist(), zip(x.tolist(), y.tolist(), strict=True), strict=True))
+        for k in np.flatnonzero(np.isin(h, g)).tolist():
+            start, end = int(i[k]), int(j[k])
+            if any(n not in gone for n in range(start, end)):
+                there = b[slice(*place[int(h[k])])]
+                gone.update(start + n for n in aligned_blocks(a[start:end], there, words[start:end], min_words))
+    return sorted(gone)
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        gone = [covered(np.frombuffer(x, LINE), np.array(had, np.int64).view(np.uint64)) for x, had in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        gone = [common_lines(np.frombuffer(x, LINE), np.frombuffer(y, LINE)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["ord", "digest", "gone"])
 
 
@@ -189,32 +219,30 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(ord, digest, gone): line numbers to delete, of every document that loses lines."""
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("digest"), F.col("text").cast("string"))
-    rows = keys.filter("text is not null and text <> ''").mapInArrow(_lines, "ord long, digest long, lines binary, heads array<long>, spans array<long>")
-    rows = saved(rows, "lines")
-    held = rows.select("ord", "digest", F.explode("heads").alias("h")).distinct()
+    rows = keys.filter("text is not null and text <> ''").mapInArrow(_lines, "ord long, digest long, lines binary, heads array<long>")
+    rows = saved(rows.dropDuplicates(["ord", "digest"]), "lines")
     me = F.struct("ord", "digest")
-    shared = saved(held.groupBy("h").agg(F.count("*").alias("n"), F.min(me).alias("first")).filter("n > 1"), "shared")
-    holders = held.join(shared, "h").select("h", "n", "first", me.alias("later"))
-    chain = holders.filter(F.col("n") > RARE).withColumn("chain", F.pmod(F.xxhash64("later", "h"), F.ceil(F.col("n") / CHAIN)))
-    chain = chain.repartition(parts(docs.sparkSession), "h", "chain")  # else the chains of a line would share its task
+    held = rows.select(me.alias("later"), F.explode("heads").alias("h"))
+    shared = saved(held.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    rare = held.join(shared.filter(F.col("n") <= RARE), "h").groupBy("h").agg(F.array_sort(F.collect_list("later")).alias("all"))
+    few = rare.select("all", F.posexplode("all").alias("k", "later")).filter("k > 0").select("later", F.explode(F.expr("slice(all, 1, k)")).alias("earlier"))
+    often = held.join(shared.filter(F.col("n") > RARE), "h").groupBy("later.ord", "later.digest").agg(F.collect_list("h").alias("often"))
+    spans = rows.join(often, ["ord", "digest"]).select("ord", "digest", "lines", "often").mapInArrow(_frequent_windows, "ord long, digest long, spans array<long>")
+    spans = saved(spans.select(me.alias("later"), F.explode("spans").alias("h")), "spans")
+    chain = spans.join(spans.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
+    chain = chain.withColumn("chain", F.pmod(F.xxhash64("later", "h"), F.ceil(F.col("n") / CHAIN)))
+    chain = chain.repartition(parts(docs.sparkSession), "h", "chain")  # else the chains of a window would share its task
     chain = chain.withColumn("earlier", F.lag("later").over(Window.partitionBy("h", "chain").orderBy("later")))
     heads = chain.filter("earlier is null").select("h", "later").withColumn("earlier", F.lag("later").over(Window.partitionBy("h").orderBy("later")))
-    often = chain.select("later", "earlier").union(heads.select("later", "earlier")).filter("earlier is not null")
-    few = holders.filter(F.col("n") <= RARE).groupBy("h").agg(F.array_sort(F.collect_list("later")).alias("all"))
-    few = few.select("all", F.posexplode("all").alias("k", "later")).filter("k > 0").select("later", F.explode(F.expr("slice(all, 1, k)")).alias("earlier"))
-    pairs = often.union(few).distinct().select("later.*", F.col("earlier.ord").alias("e_ord"), F.col("earlier.digest").alias("e_digest"))
-    text = rows.select("ord", "digest", "lines").dropDuplicates(["ord", "digest"])
+    linked = chain.select("later", "earlier").union(heads.select("later", "earlier")).filter("earlier is not null")
+    pairs = linked.union(few).distinct().select("later.*", F.col("earlier.ord").alias("e_ord"), F.col("earlier.digest").alias("e_digest"))
+    text = rows.select("ord", "digest", "lines")
     own = pairs.join(text, ["ord", "digest"])
     other = text.select(F.col("ord").alias("e_ord"), F.col("digest").alias("e_digest"), F.col("lines").alias("e_lines"))
     met = own.join(other, ["e_ord", "e_digest"]).select("ord", "digest", "lines", "e_lines")
-    aligned = met.mapInArrow(_aligned, "ord long, digest long, gone array<int>")
-    spans = rows.select("ord", "digest", F.explode("spans").alias("h"))
-    first = saved(spans.groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last")).filter("first <> last").select("h", "first"), "spans")
-    had = spans.join(first, "h").filter(me > F.col("first")).groupBy("ord", "digest").agg(F.collect_set("h").alias("had"))
-    rest = text.join(had, ["ord", "digest"]).mapInArrow(_covered, "ord long, digest long, gone array<int>")
-    gone = aligned.union(rest).select("ord", "digest", F.explode("gone").alias("line"))
+    gone = met.mapInArrow(_aligned, "ord long, digest long, gone array<int>").select("ord", "digest", F.explode("gone").alias("line"))
     gone = saved(gone.groupBy("ord", "digest").agg(F.collect_set("line").alias("_gone")), "gone")
-    dropped(rows, shared, first)
+    dropped(rows, shared, spans)
     return gone
 
 

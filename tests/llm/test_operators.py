@@ -281,6 +281,24 @@ def test_repeated_blocks_equal_brute_force(docs):
     assert got == want and 0 < sum(want.values())
 
 
+def test_only_alignments_delete(docs, monkeypatch):
+    block = " ".join(f"w{k}" for k in range(12))
+    rows = docs([(i, f"own {i}\n{block}\nend {i}", None, None) for i in range(9)])
+    assert line_dedup.without_repeats(rows).agg(F.sum("n_removed")).first()[0] == 8
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.common_lines(*line_dedup.lines_of(*utf8(pa.array([f"x\n{block}", f"y\n{block}"])))) == []
+
+
+def test_moved_and_repeated_stretches_are_aligned():
+    rng = random.Random(23)
+    for _ in range(400):
+        texts = [[f"{'w ' * rng.randint(1, 5)}{rng.randrange(4)}" for _ in range(rng.randint(0, 14))] for _ in range(2)]
+        own = line_dedup.lines_of(*utf8(pa.array(["\n".join(x) for x in texts])))
+        x, y = texts
+        same = [range(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if len(" ".join(x[a:b]).split()) >= line_dedup.MIN_WORDS and any(x[a:b] == y[c : c + b - a] for c in range(len(y)))]
+        assert line_dedup.common_lines(*own) == sorted({k for r in same for k in r})
+
+
 def test_columns_with_clashing_names_stay(spark):
     block = " ".join(f"w{k}" for k in range(12))
     rows = [(1, f"own\n{block}", 7, "a", 5, 6, "r"), (2, f"mine\n{block}", 8, "b", 5, 6, "s")]
