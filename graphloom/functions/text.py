@@ -166,3 +166,15 @@ def sloc(body: Column | str) -> Column:
 def line_number(text: Column | str, position: Column) -> Column:
     """Line (from 1) of a character position (from 0)."""
     return F.size(F.split(F.substring(col(text), F.lit(1), position), "\n")).cast("long")
+
+
+def snippets(text: Column | str, pattern: str, before: int, after: int) -> Column:
+    """(line, snippet) for every line, from 1, that has the pattern: the lines around it."""
+
+    def of(lines: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(pattern))
+        first = lambda i: F.greatest(i - before, F.lit(1))
+        return F.transform(hits, lambda i: F.struct(i.cast("long").alias("line"), F.array_join(F.slice(lines, first(i), i + after + 1 - first(i)), "\n").alias("snippet")))
+
+    # as an element of an array the lines are cut once, not for every line
+    return F.flatten(F.transform(F.array(F.split(col(text), "\n")), of))

@@ -82,6 +82,15 @@ def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
     return x.join(y, "via").filter("a <> b")
 
 
+def others_beyond(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(a, via, n): how many pairs two_hop gives for a and via, counted without making them."""
+    x = first.groupBy(F.col("src").alias("a"), F.col("dst").alias("via")).agg(F.count("*").alias("own"))
+    y = second.groupBy(F.col("src").alias("a"), F.col("dst").alias("via")).agg(F.count("*").alias("n"))
+    total = y.groupBy("via").agg(F.sum("n").alias("total"))
+    found = x.join(total, "via").join(y, ["a", "via"], "left")
+    return found.select("a", "via", (F.col("own") * (F.col("total") - F.coalesce("n", F.lit(0)))).alias("n")).filter("n > 0")
+
+
 def co_write_gaps(writes: DataFrame, top: int = 10) -> DataFrame:
     """Pairs of variables that some functions write together and others alone: (a, b, both, only_one).
 

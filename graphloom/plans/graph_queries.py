@@ -128,7 +128,7 @@ def sel_reentrancy(v: Views) -> DataFrame:
 def two_hop_chain(v: Views) -> DataFrame:
     setters = v.functions.filter(F.array_contains("modifiers", "onlyOwner")).select(F.col("id").alias("src"))
     writes = v.edges.filter(G.kind("WRITES")).join(setters, "src", "left_semi")
-    return G.two_hop(writes, v.edges.filter(G.kind("READS"))).groupBy(F.col("a").alias("setter"), "via").agg(F.count("*").alias("n_readers"))
+    return G.others_beyond(writes, v.edges.filter(G.kind("READS"))).select(F.col("a").alias("setter"), "via", F.col("n").alias("n_readers"))
 
 
 @query(

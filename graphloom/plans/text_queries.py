@@ -44,9 +44,9 @@ def slugify(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", T.slugify("url").alias("slug"))
 
 
-@query("safe_filename", sql="SELECT doc_id, '2024-01-01_' || replace(lower(trim(substr(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9 _-]', '_', 'g'), 1, 50), ' ')), ' ', '_') || '.md' AS name FROM documents")
+@query("safe_filename", sql="SELECT doc_id, '2024-01-01_' || replace(lower(trim(substr(regexp_replace(text, '[^A-Za-z0-9 _-]', '_', 'g'), 1, 50), ' ')), ' ', '_') || '.md' AS name FROM documents")
 def safe_filename(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", T.safe_filename(F.lit("2024-01-01"), F.substring("text", 1, 80)).alias("name"))
+    return v.table("documents").select("doc_id", T.safe_filename(F.lit("2024-01-01"), "text").alias("name"))
 
 
 @query("loss_priority", sql="SELECT o_orderkey, CAST(least(greatest(7 + floor(o_totalprice * 20 / 1e6), 7), 10) AS BIGINT) AS priority FROM orders")
@@ -65,9 +65,14 @@ def sloc(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", T.sloc("text").alias("sloc"))
 
 
-@query("line_number", sql="SELECT doc_id, 1 + length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) AS line FROM documents")
+@query(
+    "line_number",
+    sql="WITH b AS (SELECT doc_id, substr(text, 1, length(text) - strpos(reverse(text), '.')) AS before FROM documents) SELECT doc_id, 1 + length(before) - length(replace(before, chr(10), '')) AS line FROM b",
+)
 def line_number(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", T.line_number("text", F.lit(500)).alias("line"))
+    """Line of the last full stop of every text; the last line where there is none."""
+    last = F.length("text") - F.locate(".", F.reverse("text"))
+    return v.table("documents").select("doc_id", T.line_number("text", last).alias("line"))
 
 
 _HIDDEN = "regexp_replace(" * 6 + "html" + "".join(f", '(?is)<{t}[^>]*>.*?</{t}>', ' ', 'g')" for t in markup.HIDDEN)
@@ -187,10 +192,16 @@ def sel_upgradeable(v: Views) -> DataFrame:
     return v.table("documents").filter(F.col("text").rlike("Licensed|Initializable")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("snippet_window", "lines", "SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS snippet FROM lines WHERE line_no BETWEEN 2 AND 6 GROUP BY 1")
+@query(
+    "snippet_window",
+    "lines",
+    """SELECT h.doc_id, h.line_no AS line, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet
+    FROM lines h JOIN lines l ON l.doc_id = h.doc_id AND l.line_no BETWEEN h.line_no - 5 AND h.line_no + 3
+    WHERE regexp_matches(h.line, '@|icense') GROUP BY 1, 2""",
+)
 def snippet_window(v: Views) -> DataFrame:
-    own = F.slice(F.split("text", "\n"), 2, 5)
-    return v.table("documents").select("doc_id", own.alias("w")).filter(F.size("w") > 0).select("doc_id", F.array_join("w", "\n").alias("snippet"))
+    """Five lines before and three after every hit of a text."""
+    return v.table("documents").filter("text is not null").select("doc_id", F.inline(T.snippets("text", "@|icense", before=5, after=3)))
 
 
 SOURCE = """abstract contract Base is Owned, Guard {
@@ -278,9 +289,9 @@ def md_sections_b(v: Views) -> DataFrame:
     return rows.select("doc_id", "section", F.posexplode(F.split("body", r"\n{2,}")).alias("part", "text")).filter(F.length("text") > markup.MIN_BODY)
 
 
-@query("source_snippets", "functions", "SELECT f.id, d.doc_id, substr(d.text, 1, 60) AS snippet FROM functions f JOIN documents d ON d.doc_id = f.ord")
+@query("source_snippets", "functions", "SELECT f.id, d.doc_id, d.text AS snippet FROM functions f JOIN documents d ON d.doc_id = f.ord")
 def source_snippets(v: Views) -> DataFrame:
-    d = v.table("documents").select("doc_id", F.substring("text", 1, 60).alias("snippet"))
+    d = v.table("documents").select("doc_id", F.col("text").alias("snippet"))
     return v.functions.join(d, F.col("ord") == F.col("doc_id")).select("id", "doc_id", "snippet")
 
 
