@@ -1,16 +1,17 @@
 """Operator 3: benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared in lower case with every run of other characters than letters and digits as one space. An item of
-m characters has an error budget of k = RATE * m edits, but no more than leaves pieces of PIECE characters, and is split
-into k + 1 pieces, of which one at least survives any k edits; pieces are found exactly with one automaton, and each hit
-is verified with Myers' bit-parallel distance in the window that the item could fill. So items under twice PIECE
-characters have a budget of 0, and those shorter than SHORT match only as whole words: an edit more would make other
-words of them. An item that a text holds at several places gives one row, with the nearest place.
+Texts are compared in lower case with every run of other characters than letters and digits as one space, and a space at
+both ends, so that items match whole words and a word boundary that is missing is an edit. An item of m characters has
+an error budget of k = RATE * m edits, whatever its length, and is split into k + 1 pieces, of which one at least
+survives any k edits; pieces are found exactly with one automaton, and each hit is verified with Myers' bit-parallel
+distance in the window that the item could fill. An item that a text holds at several places gives one row, with the
+nearest place; of equally near ones, the first.
 
 Benchmarks go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over the documents for each.
 
 Defined results: null or empty texts and items match nothing; repeated items match each for itself; repeated rows get
-equal results. Extra columns are kept by `clean` and ignored by `contaminated`.
+equal results; empty tables give empty ones; a text is searched in one piece, however long. Extra columns are kept by
+`clean` and ignored by `contaminated`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, PIECE, SHORT = 0.06, 14, 24
+RATE = 0.06
 BLOCK_CHARS = 8_000_000
 
 _OTHER = re.compile(r"[\W_]+")
@@ -73,14 +74,10 @@ class Matcher:
         self.items: list[tuple[int, str, int, dict[str, int], dict[str, int]]] = []
         self.auto = ahocorasick.Automaton()
         for item_id, text in items:
-            body = plain(text).strip()
-            m = len(body)
-            if not m:
+            body = plain(text)
+            if not body.strip():
                 continue
-            if m < SHORT:
-                body, m, k = f" {body} ", m + 2, 0
-            else:
-                k = max(0, min(int(RATE * m), m // PIECE - 1))
+            m, k = len(body), int(RATE * len(body.strip()))
             number = len(self.items)
             self.items.append((item_id, body, k, bits(body), bits(body[::-1])))
             for j in range(k + 1):
@@ -104,7 +101,7 @@ class Matcher:
             m, best, done = len(body), None, -1
             for d in sorted(ends):
                 # d is where the hit piece ends, less its place: the item begins within k of d - (length of the piece) + 1
-                lo, hi = max(0, d - 2 * PIECE - k - m // (k + 1)), min(len(text), d + m + k + 1)
+                lo, hi = max(0, d - m // (k + 1) - k), min(len(text), d + m + k + 1)
                 if hi <= done:
                     continue
                 done = hi
@@ -115,7 +112,8 @@ class Matcher:
                 # the same search from the end backwards gives where the part begins
                 distance, end = best
                 back = within(backward, m, text[max(0, end - m - k) : end][::-1], distance)
-                found.append((number, distance, end - (back[1] if back else m), end))
+                start = end - (back[1] if back else m)
+                found.append((number, distance, start + text.startswith(" ", start), end - text.startswith(" ", end - 1)))
         return found
 
 

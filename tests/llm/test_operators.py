@@ -180,6 +180,41 @@ def test_edits_within_the_budget_are_found():
     assert not m.search(decontaminate.plain("tiny ones"))
 
 
+def least_edits(pattern, text):
+    """Distance of the pattern to the nearest part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != c), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_equals_brute_force(spark, docs):
+    rng = random.Random(8)
+    items = [(i, prose(rng, 1 + i % 14)) for i in range(42)]  # from one word to 70 characters: budgets from 0 to 4
+    rows = []
+    for i, item in items:
+        text = list(item)
+        for _ in range(rng.randint(0, 4)):
+            p = rng.randrange(len(text))
+            text[p : p + 1] = rng.choice(["", "x", text[p] + "z"])
+        rows.append((i, f"{prose(rng, 9)} {''.join(text)}{rng.choice(['', 's', '.'])} {prose(rng, 9)}"[rng.choice([0, 0, 25]) :], None, None))
+    want = set()
+    for i, t, _, _ in rows:
+        for j, item in items:
+            d = least_edits(decontaminate.plain(item), decontaminate.plain(t))
+            if d <= int(decontaminate.RATE * len(item)):
+                want.add((i, j, d))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs(rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want)
+    assert {d for *_, d in want} >= {0, 1, 2}
+    dirty = {i for i, *_ in want}
+    assert {r.doc_id for r in decontaminate.clean(docs(rows), bench).collect()} == {i for i, *_ in rows} - dirty
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(6)
     for _ in range(200):
