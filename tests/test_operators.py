@@ -99,6 +99,17 @@ def test_shared_state_counts(spark, n_vars):
     assert {r.a: (r.n_pairs, r.n_vars) for r in rows.collect()} == {x: (sum(a == x for a, _ in want), sum(n for (a, _), n in want.items() if a == x)) for x, _ in want}
 
 
+@pytest.mark.parametrize("n_vars", [10, 64, 150])
+def test_shared_state_pairs_are_not_shuffled(spark, n_vars):
+    f, edges, want = shared_state(spark, n_vars)
+    rows = graph.shared_state_pairs(f, edges)
+    found = rows.collect()
+    assert {(r.a, r.b): r.n_vars for r in found} == want
+    assert len(found) == len(want)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan.split("Aggregate")[0]  # nothing groups what the join of both sides gives
+
+
 def test_novel_keeps_doubles_of_a_batch(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y")], "id int, k string")
     assert sorted(r.id for r in findings.novel(rows, rows.filter("id = 1"), ["k"]).collect()) == [2, 3]
