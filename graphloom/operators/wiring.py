@@ -1,6 +1,6 @@
 """Typed graph wiring: what functions write through others, which edge of a pair counts, and where references lead.
 
-Both closures run in rounds on tables, each cut by a checkpoint. The caller sets a checkpoint folder.
+Both closures run in rounds on tables, each cut by a stored table or a checkpoint. The caller sets a checkpoint folder.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dropped, saved
+
 #: Order of precedence of the edges of a pair of nodes.
 ORDER = {"direct": 0, "transitive": 1, "reads": 2, "calls": 3}
 USER_INPUT, STATE = "user_input", "state"
@@ -17,15 +19,17 @@ def transitive_writes(writes: DataFrame, calls: DataFrame) -> DataFrame:
     """(src, dst, depth): all variables that a function writes itself (depth 0) or through calls, with the fewest calls.
 
     writes: (src, dst); calls: (src, dst). Semi-naive: a round extends only the pairs that the last one found, so that
-    cycles end and every pair is joined with the callers once. Rounds are as many as the longest shortest way."""
-    known = writes.select("src", "dst").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    back = calls.select(F.col("src").alias("caller"), F.col("dst").alias("src")).distinct()
+    cycles end and every pair is joined with the callers once. Rounds are as many as the longest shortest way. A round
+    stores its own pairs alone, as a Parquet table, so that every pair is on disk once."""
+    known = saved(writes.select("src", "dst").distinct().withColumn("depth", F.lit(0)), "writes")
+    back = saved(calls.select(F.col("src").alias("caller"), F.col("dst").alias("src")).distinct(), "calls")
     found, depth = known, 0
     while not found.isEmpty():
         depth += 1
         more = back.join(found.select("src", "dst"), "src").select(F.col("caller").alias("src"), "dst").distinct()
-        found = more.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        known = known.unionByName(found).checkpoint()
+        found = saved(more.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "writes")
+        known = known.unionByName(found)
+    dropped(back)
     return known
 
 

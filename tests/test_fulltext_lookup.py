@@ -206,6 +206,17 @@ def test_transitive_writes_with_cycles(spark, folder):
     assert wiring.transitive_writes(w.limit(0), c).count() == 0
 
 
+def test_transitive_writes_are_stored_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    kinds = "src string, dst string"
+    w, c = spark.createDataFrame([("c12", f"v{i}") for i in range(20)], kinds), spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(12)], kinds)
+    rows = wiring.transitive_writes(w, c)
+    assert rows.count() == 13 * 20
+    tables = [str(p) for p in tmp_path.rglob("writes-*") if p.is_dir()]
+    assert sum(spark.read.schema(rows.schema).parquet(p).count() for p in tables) == 13 * 20
+    assert not list(tmp_path.rglob("rdd-*"))
+
+
 def test_points_to_follows_long_chains_and_cycles(spark, folder):
     refs = [(1, i, f"r{i}", i + 1 if i < 70 else None) for i in range(71)] + [(2, i, f"r{i}", (i + 1) % 5) for i in range(5)] + [(3, 0, "p", 0), (3, 1, "q", 99), (4, 7, "r70", None)]
     params = [(1, "r70"), (2, "none"), (3, "p")]
