@@ -64,6 +64,13 @@ def test_shortest_paths_of_many_roots(spark, tmp_path, most):
     assert {(x.root, x.id) for x in chains} == {k for k, p in want.items() if len(p) <= 2 and any(s == k[1] for s, _ in edges)}
 
 
+def test_paths_are_stored_as_tables(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = traversal.reach_all(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), spark.createDataFrame([("a",)], "root string"))
+    assert {r.id: list(r.path) for r in rows.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"]}
+    assert not list(tmp_path.rglob("rdd-*")) and not list(tmp_path.rglob("edges-*"))
+
+
 def archive(path, files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
